@@ -37,6 +37,7 @@ IGNORABLE = (
     (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
 )
 _BLANKS = re.compile(r"\s+")
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7f]")
 
 
 @lru_cache(maxsize=200_000)
@@ -59,7 +60,7 @@ def one_form(text: str | None, fold_case: bool = False) -> str | None:
     if text is None:
         return None
     if not text.isascii():
-        text = unicodedata.normalize("NFC", "".join(map(_char, text)))
+        text = unicodedata.normalize("NFC", _BEYOND_ASCII.sub(lambda m: _char(m.group()), text))
     text = _BLANKS.sub(" ", text).strip()
     if fold_case:
         text = unicodedata.normalize("NFC", text.casefold())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mossbrook.llm import leakage, lookalike, mixing, splitting
+from mossbrook.llm import leakage, lookalike, mixing, splitting, toxicity
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -59,8 +59,27 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))[1]
 
 
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.scores(_t(spark, d, "documents"), _t(spark, d, "content_labels"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the categories of harmful language they hold."""
+    return toxicity.flagged(_scores(spark, d))
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's scores and evidence."""
+    return _scores(spark, d)
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates per source."""
+    return toxicity.rates(_scores(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_forms, p6_found, p6_alignments, p7_records, p7_report)
+    f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_forms, p6_found, p6_alignments, p7_records, p7_report, p8_found, p8_scores, p8_rates)
 }
 
 ORACLES: dict[str, str] = {
