@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mossbrook.llm import leakage, lookalike, mixing, splitting, toxicity
+from mossbrook.llm import canonical, leakage, lookalike, mixing, splitting, toxicity
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -39,6 +39,16 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return values.select("value", lookalike.look("value").alias("look"), lookalike.canonical("value").alias("form"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The concept each mention means."""
+    return canonical.map_mentions(_t(spark, d, "zingg_matches"), _t(spark, d, "bios_subset")).select("match_id", "bios_id")
+
+
+def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the edits and the similarity of the match."""
+    return canonical.map_mentions(_t(spark, d, "zingg_matches"), _t(spark, d, "bios_subset"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the items they leak."""
     return leakage.leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items")).select("doc_id", "item_id")
@@ -79,7 +89,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_forms, p6_found, p6_alignments, p7_records, p7_report, p8_found, p8_scores, p8_rates)
+    f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_forms, p5_found, p5_matches, p6_found, p6_alignments, p7_records, p7_report, p8_found, p8_scores, p8_rates)
 }
 
 ORACLES: dict[str, str] = {
