@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mossbrook.llm import canonical, leakage, lookalike, mixing, splitting, toxicity
+from mossbrook.llm import canonical, leakage, lookalike, mixing, ocr, splitting, toxicity
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The kinds of damage in each node."""
+    return ocr.found(_t(spark, d, "tree_nodes"))
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The paragraphs as continuous text."""
+    return ocr.repaired(_t(spark, d, "tree_nodes"))
+
+
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Every piece of every oversized node."""
     return splitting.split_oversized(_t(spark, d, "tree_nodes"), _t(spark, d, "chunk_limits"))
@@ -89,7 +99,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_forms, p5_found, p5_matches, p6_found, p6_alignments, p7_records, p7_report, p8_found, p8_scores, p8_rates)
+    f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_pieces, p4_found, p4_forms, p5_found, p5_matches, p6_found, p6_alignments, p7_records, p7_report, p8_found, p8_scores, p8_rates)
 }
 
 ORACLES: dict[str, str] = {
