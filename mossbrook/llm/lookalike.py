@@ -36,7 +36,6 @@ IGNORABLE = (
     (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF),
     (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
 )
-_BLANKS = re.compile(r"\s+")
 _BEYOND_ASCII = re.compile(r"[^\x00-\x7f]")
 
 
@@ -61,7 +60,7 @@ def one_form(text: str | None, fold_case: bool = False) -> str | None:
         return None
     if not text.isascii():
         text = unicodedata.normalize("NFC", _BEYOND_ASCII.sub(lambda m: _char(m.group()), text))
-    text = _BLANKS.sub(" ", text).strip()
+    text = " ".join(text.split())
     if fold_case:
         text = unicodedata.normalize("NFC", text.casefold())
     return text
