@@ -101,7 +101,8 @@ def allowed(n: Column) -> Column:
 def list_terms(concepts: DataFrame, id_col: str, scalars: list[str], arrays: list[str]) -> DataFrame:
     """(bios_id, term, rank, words, numbers): every term of the list, salts and the like taken off.
 
-    A word is a modifier if some concept has a term with and the same term without it, neither with a number. A numbered name also counts
+    A word is a modifier if some concept has a term with and the same term without it, neither with a number.
+    The modifiers are words of the reference list and few; the plan holds them as a literal. A numbered name also counts
     by its first word and number alone, where no other concept shares these. rank: 0 an ordinary term, 1 one that
     isn't written in ordinary characters, 2 a short form made here.
     """
@@ -120,8 +121,9 @@ def list_terms(concepts: DataFrame, id_col: str, scalars: list[str], arrays: lis
     pairs = a.join(b, (F.col("a.bios_id") == F.col("b.bios_id")) & (F.col("a.numbers") == "") & (F.col("b.numbers") == "") & (F.size("a.words") == F.size("b.words") + 1))
     extra = F.array_except("a.words", "b.words")
     modifiers = pairs.where((F.size(extra) == 1) & (F.size(F.array_except("b.words", "a.words")) == 0)).select(extra[0].alias("word")).distinct()
-    listed = modifiers.agg(F.collect_set("word").alias("mods"))
-    base = flat.crossJoin(F.broadcast(listed)).withColumn("short", F.filter("words", lambda w: ~F.array_contains("mods", w)))
+    mods = sorted(r.word for r in modifiers.collect())
+    base = flat.withColumn("mods", F.array(*map(F.lit, mods)).cast("array<string>"))
+    base = base.withColumn("short", F.filter("words", lambda w: ~F.array_contains("mods", w)))
     base = base.withColumn("words", F.when(F.size("short") > 0, F.col("short")).otherwise(F.col("words"))).drop("short")
     numbered = base.where((F.col("numbers") != "") & (F.size("words") > 1)).select("bios_id", "term", F.array(F.col("words")[0]).alias("words"), "numbers", F.lit(2).alias("rank"), "mods")
     clear = numbered.groupBy("words", "numbers").agg(F.count_distinct("bios_id").alias("n")).where("n = 1").drop("n")
@@ -216,10 +218,11 @@ def map_values(values: DataFrame, terms: DataFrame) -> DataFrame:
     Order of the candidates: fewest edits, ordinary before odd writing, highest Jaccard, smallest id.
     """
     none = F.array().cast("array<string>")
-    mods = terms.agg(F.coalesce(F.first("mods", True), none).alias("mods"))
+    first = terms.select("mods").first()
+    mods = F.array(*map(F.lit, first.mods if first else [])).cast("array<string>")
     words = terms.select(F.explode("words").alias("word")).distinct()
     listed = values.select("key", F.explode("words").alias("word")).join(words, "word", "left_semi").groupBy("key").agg(F.collect_set("word").alias("known"))
-    v = values.join(listed, "key", "left").crossJoin(F.broadcast(mods)).withColumn("known", F.coalesce("known", none))
+    v = values.join(listed, "key", "left").withColumn("mods", mods).withColumn("known", F.coalesce("known", none))
     v = v.withColumn("words", _without_modifiers("words", "mods", "known")).select("key", "words", "numbers", "known", trigrams(F.col("words")).alias("grams"))
     t = terms.groupBy("words", "numbers").agg(F.min(F.struct("rank", "bios_id")).alias("r")).select("words", "numbers", "r.rank", "r.bios_id", trigrams(F.col("words")).alias("grams"))
     v, t = cut_lineage(v), cut_lineage(t.withColumn("tid", F.xxhash64("words", "numbers")))

@@ -25,7 +25,7 @@ from mossbrook.session import cut_lineage
 # What is printed and what it's read as.
 CONFUSIONS = (
     ("e", "c"), ("i", "!"), ("t", "†"), ("o", "0"), ("l", "1"), ("d", "cl"), ("s", "5"), ("u", "ii"), ("m", "rn"), ("y", "v"), ("ti", "n"),
-    ("in", "m"), ("h", "b"), ("g", "q"), ("li", "h"), ("w", "vv"), ("1", "l"), ("0", "o"), ("5", "s"), ("8", "b"),
+    ("in", "m"), ("rn", "m"), ("nn", "mi"), ("cl", "d"), ("h", "b"), ("g", "q"), ("li", "h"), ("w", "vv"), ("1", "l"), ("0", "o"), ("5", "s"), ("8", "b"),
 )
 MARKS = "-‐­¬"
 #: How much more frequent than its misreading a word must be.
@@ -33,7 +33,7 @@ RATIO = 3
 BITS = 23
 EDGE_LINES = 2
 _BREAK = re.compile(rf"\S+[{MARKS}] ?\n\s*\S+")
-_INNER = re.compile(r"[!†]?[^\W_](?:[\w!†]*[^\W_])?")
+_INNER = re.compile(r"[!†]?[^\W_](?:[\w!†]*[^\W_])?[!†]?")
 NUMBER = re.compile(r"(?=[\dlOSB.,/]*\d)(?=[\dlOSB.,/]*[lOSB])[\dlO][\dlOSB]*(?:[.,/][\dlOSB]+)*")
 SHAPE_DOCS = 5
 
@@ -125,15 +125,14 @@ def corrections(counts: DataFrame) -> DataFrame:
     The printed word is at least ``RATIO`` times as frequent. Where only letters are confused it has four letters or
     more. Of several, the most frequent, then the first by spelling.
     """
-    spark = counts.sparkSession
     single = [(anagram(a) - anagram(b), b, "") for a, b in CONFUSIONS]
     double = [(x + y, b, c) for i, (x, b, _) in enumerate(single) for y, c, _ in single[i:]]
-    shifts = spark.createDataFrame(sorted(set(single + double)), "shift long, b string, c string")
+    shifts = F.array(*[F.struct(F.lit(x).cast("long").alias("shift"), F.lit(b).alias("b"), F.lit(c).alias("c")) for x, b, c in sorted(set(single + double))])
     words = counts.where(~F.contains("word", F.lit("-")) & (F.length("word") > 1) & ~F.col("word").rlike(r"^\d+$"))
     hashed = words.withColumn("hash", _anagram("word"))
     reads = hashed.select("word", "n", "hash")
-    keys = reads.join(F.broadcast(shifts), F.contains("word", F.col("b")) & F.contains("word", F.col("c")))
-    keys = keys.select("word", "n", (F.col("hash") + F.col("shift")).alias("hash")).distinct()
+    fitting = F.filter(shifts, lambda s: F.contains(F.col("word"), s["b"]) & F.contains(F.col("word"), s["c"]))
+    keys = reads.select("word", "n", "hash", F.explode(fitting).alias("s")).select("word", "n", (F.col("hash") + F.col("s.shift")).alias("hash")).distinct()
     frequent = hashed.where(F.col("n") >= RATIO).select(F.col("word").alias("printed"), F.col("n").alias("printed_n"), "hash")
     odd = F.col("word").rlike(r"[0-9!†]")
     pairs = (
@@ -295,7 +294,7 @@ def edge_noise(nodes: DataFrame) -> DataFrame:
     near = F.levenshtein(plain, shown, 12)
     like_title = (F.length(plain) >= 8) & (near >= 0) & (near <= F.greatest(F.lit(1), F.length(plain) / 5))
     shape = F.regexp_replace("part", r"[0-9lO]*[0-9]+[0-9lO]*", "#")
-    parts = parts.withColumn("like_title", F.coalesce(like_title, F.lit(False))).withColumn("shape", F.regexp_replace(shape, r"\b\p{Lu}#$", "A#"))
+    parts = parts.withColumn("like_title", F.coalesce(like_title, F.lit(False))).withColumn("shape", F.regexp_replace(shape, r" ?\p{Lu}[^\p{L}#]*#[^\p{L}]*$", " A#"))
     worded = F.col("part").rlike(r"\p{L}{3}") & ~F.col("part").rlike(r"[:.;,]$") & F.col("style").isNull() & (F.length("part") <= 70)
     few = F.size(F.split("part", " ")) <= 4
     shapes = (
