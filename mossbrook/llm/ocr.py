@@ -12,6 +12,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -200,14 +202,10 @@ def divisions(nodes: DataFrame, counts: DataFrame) -> DataFrame:
     Other marks than the hyphen divide. For a hyphen the corpus decides: the joined word or the compound, whichever
     is more frequent; if it knows neither, parts that are both words of their own make a compound, as do codes.
     """
-    pattern = rf"(\S+)([{MARKS}]) ?\n\s*(\S+)"
-    broken = nodes.where(F.col("content").rlike(rf"[{MARKS}] ?\n"))
-    at = F.arrays_zip(
-        F.regexp_extract_all("content", F.lit(pattern), F.lit(1)).alias("left"),
-        F.regexp_extract_all("content", F.lit(pattern), F.lit(2)).alias("mark"),
-        F.regexp_extract_all("content", F.lit(pattern), F.lit(3)).alias("right"),
-    )
-    each = broken.select("node_id", F.explode(F.array_distinct(at)).alias("b")).select("node_id", "b.*")
+    ends = [F.contains("content", F.lit(mark + gap + "\n")) for mark in MARKS for gap in ("", " ")]
+    broken = nodes.where(reduce(or_, ends)).select("node_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(rf"\S+[{MARKS}] ?\n\s*\S+"), F.lit(0)))).alias("at"))
+    parts = rf"^(\S+)([{MARKS}]) ?\n\s*(\S+)$"
+    each = cut_lineage(broken.select("node_id", *[F.regexp_extract("at", parts, k).alias(n) for k, n in ((1, "left"), (2, "mark"), (3, "right"))]))
     each = each.withColumn("a", F.lower(F.regexp_extract("left", r"([\p{L}\p{N}!†]+)$", 1))).withColumn("z", F.lower(F.regexp_extract("right", r"^([\p{L}\p{N}!†]+)", 1)))
     cases = each.where((F.col("a") != "") & (F.col("z") != "")).select("a", "z", "mark").where("mark = '-'").select("a", "z").distinct()
     asked = cases.select("a", "z", F.explode(F.array(F.concat("a", "z"), F.concat_ws("-", "a", "z"), F.concat(F.lit("<"), "a"), F.concat(F.lit(">"), "z"))).alias("q"))
