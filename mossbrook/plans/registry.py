@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mossbrook.plans import history
+from mossbrook.plans import access, history, linking
 
 FLAGSHIP = "p2_found"
+BOOKS = (access.book, linking.book)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**history.QUERIES}
 ORACLES: dict[str, str] = {**history.ORACLES}
+for _b in BOOKS:
+    QUERIES |= _b.queries
+    ORACLES |= _b.oracles
