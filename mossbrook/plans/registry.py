@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mossbrook.plans import access, history, linking
+from mossbrook.plans import access, graph, history, linking
 
 FLAGSHIP = "p2_found"
-BOOKS = (access.book, linking.book)
+BOOKS = (access.book, linking.book, graph.book)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**history.QUERIES}
 ORACLES: dict[str, str] = {**history.ORACLES}
 for _b in BOOKS:
