@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mossbrook.plans import access, corpus, graph, history, linking
+from mossbrook.plans import access, corpus, graph, history, linking, retrieval
 
-FLAGSHIP = "p2_found"
-BOOKS = (access.book, linking.book, graph.book, corpus.book)
+FLAGSHIP = "rrf_fusion"
+BOOKS = (access.book, linking.book, graph.book, corpus.book, retrieval.book)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**history.QUERIES}
 ORACLES: dict[str, str] = {**history.ORACLES}
 for _b in BOOKS:
