@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mossbrook.plans import access, corpus, events, graph, history, linking, retrieval
+from mossbrook.plans import access, corpus, events, graph, history, linking, quality, retrieval
 
 FLAGSHIP = "rrf_fusion"
-BOOKS = (access.book, linking.book, graph.book, corpus.book, retrieval.book, events.book)
+BOOKS = (access.book, linking.book, graph.book, corpus.book, retrieval.book, events.book, quality.book)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**history.QUERIES}
 ORACLES: dict[str, str] = {**history.ORACLES}
 for _b in BOOKS:
