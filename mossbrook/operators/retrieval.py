@@ -11,23 +11,18 @@ from mossbrook import schema as S
 from mossbrook.functions import text as X
 
 
-def postings(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(key, term, tf) and (key, length) of the words of a text column."""
-    w = docs.select(key, F.explode(X.words(F.col(text))).alias("term"))
-    p = w.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    return p, p.groupBy(key).agg(F.sum("tf").alias("length"))
-
-
 def bm25(queries: DataFrame, docs: DataFrame, key: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(qid, key, score). Postings are cut to the query terms before they're joined with lengths or shuffled by document."""
+    """(qid, key, score). A document's length rides along with its words; words that no query has are dropped before
+    anything is shuffled, so only the postings of the query terms move. Documents without words don't count."""
     q = queries.select("qid", F.explode(F.array_distinct(X.words(F.col("query")))).alias("term"))
-    p, length = postings(docs, key, text)
-    stats = length.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
+    sized = docs.select(key, X.words(F.col(text)).alias("ws")).where(F.size("ws") > 0)
+    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ws")).alias("mean")).first()
     n, mean = float(stats["n"] or 0), float(stats["mean"] or 1.0)
-    hit = p.join(q.select("term").distinct(), "term", "left_semi")
+    tokens = sized.select(key, F.size("ws").alias("length"), F.explode("ws").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
+    hit = tokens.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    w = hit.join(df, "term").join(length, key)
+    w = hit.join(df, "term")
     w = w.withColumn("w", idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean))))
     return q.join(w, "term").groupBy("qid", key).agg(F.round(F.sum("w"), 6).alias("score"))
 
