@@ -28,9 +28,9 @@ def observations(events: DataFrame) -> DataFrame:
 
 
 def deduplicated(stream: DataFrame, late: str = "1 day") -> DataFrame:
-    """Observations once each, however often they are delivered within the watermark."""
+    """Observations once each, however often they are delivered within the watermark; ``at`` is their event time."""
     timed = stream.withColumn("at", F.to_timestamp("event_ts"))
-    return timed.withWatermark("at", late).dropDuplicatesWithinWatermark(["observation_id"]).drop("at")
+    return timed.withWatermark("at", late).dropDuplicatesWithinWatermark(["observation_id"])
 
 
 def unmapped_spans(tool_io: DataFrame) -> DataFrame:
@@ -44,8 +44,8 @@ def unmapped_spans(tool_io: DataFrame) -> DataFrame:
 
 
 def tumbling(stream: DataFrame, size: str = "1 hour", late: str = "1 day") -> DataFrame:
-    """Events per window and status."""
-    timed = stream.withColumn("at", F.to_timestamp("event_ts")).withWatermark("at", late)
+    """Events per window and status; a stream that has its event time and watermark already keeps them."""
+    timed = stream if "at" in stream.columns else stream.withColumn("at", F.to_timestamp("event_ts")).withWatermark("at", late)
     return timed.groupBy(F.window("at", size), "status").agg(F.count(F.lit(1)).alias("events"), F.approx_count_distinct("mention_key").alias("mentions"))
 
 
