@@ -94,7 +94,8 @@ def trigrams(words: Column) -> Column:
 
 
 def allowed(n: Column) -> Column:
-    """Misspellings allowed in a value of n trigrams."""
+    """Misspellings allowed where the smaller of two values has n trigrams. It grows with n, so the prefix that a value's own
+    n asks for is long enough for every partner."""
     return F.when(n <= 4, 0).when(n <= 7, 1).when(n <= 24, 2).otherwise(3)
 
 
@@ -229,11 +230,11 @@ def map_values(values: DataFrame, terms: DataFrame) -> DataFrame:
     rarity = v.select(F.explode("grams").alias("gram")).unionAll(t.select(F.explode("grams").alias("gram"))).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     left = _ordered(v.select("key", "numbers", "grams"), rarity, ["key", "numbers"])
     right = _ordered(t.select("tid", "numbers", "grams"), rarity, ["tid", "numbers"]).select("tid", "numbers", F.col("n").alias("tn"), F.col("place").alias("tplace"), "gram")
-    most = F.greatest("n", "tn")
-    need = most - allowed(most) * SPOILED
+    least = F.least("n", "tn")
+    need = F.greatest("n", "tn") - allowed(least) * SPOILED
     pairs = (
         left.join(right, ["gram", "numbers"])
-        .where(F.least("n", "tn") >= need)
+        .where(least >= need)
         .where(1 + F.least(F.col("n") - F.col("place"), F.col("tn") - F.col("tplace")) >= need)
         .select("key", "tid")
         .distinct()
@@ -243,8 +244,8 @@ def map_values(values: DataFrame, terms: DataFrame) -> DataFrame:
         .join(t.select("tid", "bios_id", "rank", F.col("words").alias("twords"), F.col("grams").alias("tgrams")), "tid")
         .withColumn("both", F.size(F.array_intersect("grams", "tgrams")))
     )
-    big = F.greatest(F.size("grams"), F.size("tgrams"))
-    exact = full.where(F.col("both") >= F.greatest(big - allowed(big) * SPOILED, F.lit(1))).withColumn("jaccard", F.col("both") / F.size(F.array_union("grams", "tgrams")))
+    a, b = F.size("grams"), F.size("tgrams")
+    exact = full.where(F.col("both") >= F.greatest(F.greatest(a, b) - allowed(F.least(a, b)) * SPOILED, F.lit(1))).withColumn("jaccard", F.col("both") / F.size(F.array_union("grams", "tgrams")))
     checked = exact.withColumn("edits", _distance("words", "twords", "known")).where(F.col("edits") >= 0)
     best = checked.groupBy("key").agg(F.min(F.struct("edits", "rank", (-F.col("jaccard")).alias("j"), "bios_id")).alias("b"))
     return best.select("key", "b.bios_id", "b.edits", (-F.col("b.j")).alias("jaccard"))

@@ -129,7 +129,7 @@ def seeded_documents(docs: DataFrame, seed: DataFrame) -> DataFrame:
                     texts.append(ws)
                     hits.append([{"gram": g, "at": a} for g, a in zip(flat[mine].view(np.int64), mine - start)])
                 start += len(ws)
-            yield pd.DataFrame({"doc_id": ids, "words": texts, "hits": hits})
+            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "words": pd.Series(texts, dtype=object), "hits": pd.Series(hits, dtype=object)})
 
     return (
         docs.where(F.length("text") > 2 * MIN_WORDS)

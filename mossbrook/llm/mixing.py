@@ -51,11 +51,12 @@ def fill(total: float, weights: list[float], capacity: list[float]) -> list[floa
     open_ = [i for i in range(len(weights)) if weights[i] > 0 and capacity[i] > 0]
     left = min(total, sum(capacity[i] for i in open_))
     while open_ and left > 1e-9:
-        scale = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if out[i] + weights[i] * scale >= capacity[i] - 1e-9]
+        total_weight = sum(weights[i] for i in open_)
+        part = {i: left * (weights[i] / total_weight) for i in open_}
+        full = [i for i in open_ if out[i] + part[i] >= capacity[i] - 1e-9]
         if not full:
             for i in open_:
-                out[i] += weights[i] * scale
+                out[i] += part[i]
             break
         for i in full:
             left -= capacity[i] - out[i]

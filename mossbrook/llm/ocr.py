@@ -88,7 +88,7 @@ def word_counts(nodes: DataFrame) -> DataFrame:
             for token, n in raw.items():
                 for w in tokens(token):
                     words[w] += n
-            yield pd.DataFrame({"word": list(words), "n": list(words.values())})
+            yield pd.DataFrame({"word": pd.Series(list(words), dtype=object), "n": pd.Series(list(words.values()), dtype="int64")})
 
     texts = nodes.where(F.length("content") > 0).select("content")
     return texts.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -386,9 +386,8 @@ def rebuild(text: str, drop: dict[int, list[str]], divided: set[tuple[str, str,
         for token in b.split():
             fixed = token
             for w in token_words(token):
-                if w in printed:
-                    p = printed[w]
-                    fixed = re.sub(re.escape(w), lambda m: p.capitalize() if m[0][:1].isupper() else p, fixed, flags=re.I)
+                if p := printed.get(w):
+                    fixed = re.sub(re.escape(w), lambda m, p=p: p.capitalize() if m[0][:1].isupper() else p, fixed, flags=re.I)
             core = fixed.strip(".,;:()")
             if core in printed and printed[core] == "":
                 fixed = fixed.replace(core, core.translate(str.maketrans("lOSB", "1058")))
@@ -417,7 +416,7 @@ def repaired(nodes: DataFrame) -> DataFrame:
                 divided = {(s["left"], s["mark"], s["right"]) for s in (r.split if r.split is not None else ())}
                 printed = {m["word"]: m["printed"] for m in (r.misread if r.misread is not None else ())}
                 out.append(rebuild(r.content, drop, divided, printed))
-            yield pd.DataFrame({"node_id": pdf["node_id"], "content": out})
+            yield pd.DataFrame({"node_id": pdf["node_id"], "content": pd.Series(out, dtype=object)})
 
     rows = paragraphs(nodes).select("node_id", "content").dropDuplicates(["node_id"]).join(per, "node_id", "left")
     return rows.mapInPandas(run, "node_id string, content string")

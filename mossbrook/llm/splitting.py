@@ -21,12 +21,12 @@ PIECES = (
     "piece_no int, piece_count int, start_char int, end_char int, content string"
 )
 # Abbreviations that don't end a sentence.
-ABBREVIATIONS = r"(?<!\bcf)(?<!\bca)(?<!\bno)(?<!\bvs)(?<!\bsect)(?<!\bfig)(?<!\betc)(?<!\bdr)(?<!\be\.g)(?<!\bi\.e)(?<!\bresp)(?<!\bapprox)"
+ABBREVIATIONS = r"(?i:(?<!\bcf)(?<!\bca)(?<!\bno)(?<!\bvs)(?<!\bsect)(?<!\bfig)(?<!\betc)(?<!\bdr)(?<!\be\.g)(?<!\bi\.e)(?<!\bresp)(?<!\bapprox))"
 #: From the strongest boundary to the weakest; a cut lies at the end of a match.
 LEVELS = (
     re.compile(r"\n[ \t]*\n\s*"),
     re.compile(r"\n"),
-    re.compile(ABBREVIATIONS + r"[.!?]+[\"')\]]*\s+(?=[\"'(\[]?[^\Wa-z_])|[。！？]+[”’」』）]*\s*", re.I),
+    re.compile(ABBREVIATIONS + r"[.!?]+[\"')\]]*\s+(?=[\"'(\[]?[^\Wa-z_])|[。！？]+[”’」』）]*\s*"),
     re.compile(r"[,;:]\s+|[，；：、]\s*"),
     re.compile(r"\s+"),
 )
