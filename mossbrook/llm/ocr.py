@@ -28,10 +28,13 @@ from mossbrook.session import cut_lineage
 CONFUSIONS = (
     ("e", "c"), ("i", "!"), ("t", "†"), ("o", "0"), ("l", "1"), ("d", "cl"), ("s", "5"), ("u", "ii"), ("m", "rn"), ("y", "v"), ("ti", "n"),
     ("in", "m"), ("rn", "m"), ("nn", "mi"), ("cl", "d"), ("h", "b"), ("g", "q"), ("li", "h"), ("w", "vv"), ("1", "l"), ("0", "o"), ("5", "s"), ("8", "b"),
+    ("b", "8"), ("i", "l"),
 )
 MARKS = "-‐­¬"
 #: How much more frequent than its misreading a word must be.
 RATIO = 3
+#: Letters from which on a word may hold two confusions; shorter words come too close to others.
+LONG_WORD = 7
 BITS = 23
 EDGE_LINES = 2
 _BREAK = re.compile(rf"\S+[{MARKS}] ?\n\s*\S+")
@@ -100,12 +103,12 @@ def _anagram(words: pd.Series) -> pd.Series:
 
 
 def _spellings(word: str) -> set[str]:
-    """What may stand in the print where a word was read, by one confusion or by two."""
+    """What may stand in the print where a word was read, by one confusion, or by two if it's ``LONG_WORD`` long."""
     def once(w: str) -> set[str]:
         return {w[:i] + a + w[i + len(b) :] for a, b in CONFUSIONS for i in range(len(w)) if w.startswith(b, i)}
 
     first = once(word)
-    return first | {v for w in first for v in once(w)}
+    return first | {v for w in first for v in once(w) if len(v) >= LONG_WORD}
 
 
 @F.pandas_udf(T.BooleanType())
