@@ -83,16 +83,31 @@ def missed_clicks(clicks: DataFrame, returned: DataFrame) -> DataFrame:
     return clicks.join(returned.select("query", "key").distinct(), ["query", "key"], "left_anti").groupBy("query", "key").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
-def cooccurrence(rows: DataFrame, group: str, item: str, least: int, known: DataFrame) -> DataFrame:
+def cooccurrence(rows: DataFrame, group: str, item: str, least: int, known: DataFrame, large: int = 1000) -> DataFrame:
     """(a, b, groups): unordered pairs of items in ``least`` groups or more that aren't known edges (a, b).
 
-    A pair must occur ``least`` times, so items that do not are dropped before pairs are formed within small groups.
+    Items in fewer groups are dropped first. Pairs are formed only within groups of up to ``large`` items; a pair that
+    counts must stand in at least ``least`` less the number of larger groups of those, and only for such pairs are the
+    larger groups asked whether they hold both ends. If there are ``least`` larger groups or more, they're paired too.
     """
-    r = rows.select(group, item).distinct()
+    r = rows.select(group, item).where(F.col(group).isNotNull() & F.col(item).isNotNull()).distinct()
     often = r.groupBy(item).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(item)
     x = r.join(often, item, "left_semi")
-    pairs = x.select(group, F.col(item).alias("a")).join(x.select(group, F.col(item).alias("b")), group).where(F.col("a") < F.col("b"))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") >= least).join(known.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    hot = x.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select(group)
+    k = hot.count()
+    k = 0 if k >= least else k
+    small = x.join(hot, group, "left_anti") if k else x
+    pairs = small.select(group, F.col(item).alias("a")).join(small.select(group, F.col(item).alias("b")), group).where(F.col("a") < F.col("b"))
+    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") >= least - k)
+    if k:
+        big = x.join(hot, group, "left_semi")
+        more = (
+            counted.join(big.select(F.col(group).alias("g"), F.col(item).alias("a")), "a")
+            .join(big.select(F.col(group).alias("g"), F.col(item).alias("b")), ["g", "b"])
+            .groupBy("a", "b").agg(F.count(F.lit(1)).alias("more"))
+        )
+        counted = counted.join(more, ["a", "b"], "left").select("a", "b", (F.col("groups") + F.coalesce("more", F.lit(0))).alias("groups"))
+    return counted.where(F.col("groups") >= least).join(known.select("a", "b").distinct(), ["a", "b"], "left_anti")
 
 
 def negative_feedback(feedback: DataFrame) -> DataFrame:
@@ -141,7 +156,7 @@ def candidates(c: DataFrame, blocked: DataFrame, least: int = 2, most: int = 80,
     reasons = F.array_compact(
         F.array(
             F.when(F.col("listed"), "hard:blocked"), F.when(F.length(F.trim("mention")) < least, "hard:short"), F.when(F.length("mention") > most, "hard:long"),
-            F.when(F.col("mention").rlike(r"^[\d\W]+$"), "hard:no_letters"), F.when(F.col("canonical").isNull(), "soft:no_entity"), F.when(F.round(near, 6) < overlap, "soft:overlap"),
+            F.when(F.col("mention").rlike(r"^[^\p{L}]+$"), "hard:no_letters"), F.when(F.col("canonical").isNull(), "soft:no_entity"), F.when(F.round(near, 6) < overlap, "soft:overlap"),
             F.when(F.coalesce("confidence", F.lit(0.0)) < S.LOW_CONFIDENCE, "soft:confidence"),
         )
     )

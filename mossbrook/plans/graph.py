@@ -92,10 +92,13 @@ def clique_primary(spark, d):
     return G.cliques(b.withColumn("predicate", F.lit("exact_match")).withColumn("confidence", F.lit(0.95)), ["HMD", "XCHEM"])
 
 
-@book.query()
+@book.query("""WITH RECURSIVE e AS (SELECT DISTINCT concept_id AS p, unnest(consider) AS c FROM concept_ids UNION SELECT DISTINCT replaced_by, concept_id FROM concept_ids WHERE replaced_by IS NOT NULL UNION SELECT DISTINCT concept_id, replaced_by FROM concept_ids WHERE replaced_by IS NOT NULL),
+    w AS (SELECT p AS root, c AS node, 1 AS k FROM e UNION SELECT root, c, k + 1 FROM w JOIN e ON p = node WHERE k < 7) SELECT DISTINCT root AS node FROM w WHERE root = node""")
 def hierarchy_cycles(spark, d):
-    e = table(spark, d, "concept_ids").where(F.size("consider") > 0).select(F.col("concept_id").alias("parent"), F.explode("consider").alias("child")).distinct()
-    return G.on_cycle(e, levels=6)
+    c = table(spark, d, "concept_ids")
+    r = c.where(F.col("replaced_by").isNotNull())
+    e = c.select(F.col("concept_id").alias("parent"), F.explode("consider").alias("child")).union(r.select("replaced_by", "concept_id")).union(r.select("concept_id", "replaced_by"))
+    return G.on_cycle(e.distinct(), levels=6)
 
 
 QUADS = """q AS (SELECT 'g:supplier' AS g, CAST(s_suppkey AS VARCHAR) AS s, 'name' AS p, s_name AS o FROM supplier UNION ALL SELECT 'g:supplier', CAST(s_suppkey AS VARCHAR), 'nation', CAST(s_nationkey AS VARCHAR) FROM supplier

@@ -38,7 +38,13 @@ def alias_collisions(spark, d):
     return g.where("concepts > 1")
 
 
-@book.query()
+CODE = "'^([A-Za-z]{1,6})[\\s\\-]?(\\d{2,6})([A-Za-z]?)$'"
+VARIANTS = f"""b AS (SELECT mention, trim(regexp_replace(mention, '[®™©]', '', 'g')) AS bare, regexp_extract(mention, {CODE}, 1) AS a, regexp_extract(mention, {CODE}, 2) AS n, regexp_extract(mention, {CODE}, 3) AS s FROM m),
+    v AS (SELECT DISTINCT mention, unnest(list_concat(CASE WHEN regexp_matches(mention, {CODE}) THEN list_filter([a || n || s, a || '-' || n || s, a || ' ' || n || s], lambda z: lower(z) <> lower(trim(mention))) ELSE [] END, [bare],
+      list_filter(list_transform(string_split_regex(bare, '[/+]'), lambda z: trim(z)), lambda z: length(z) >= 4))) AS v FROM b)"""
+
+
+@book.query(f"WITH {DICT}, {MENTIONS}, {VARIANTS} SELECT mention, concept_id, round(0.95 * max(CASE scope WHEN 'EXACT' THEN 1.0 ELSE 0.8 END), 6)::DOUBLE AS score FROM v JOIN dict ON {KEY.format('v')} = alias_norm GROUP BY 1, 2")
 def alias_variant_match(spark, d):
     return L.match_variants(_mentions(spark, d), _dict(spark, d))
 

@@ -126,6 +126,42 @@ def test_backlog_fold(spark):
     assert rows(events.window_days(df, "2024-01-01").select("observation_id").distinct()) == [("1",), ("2",), ("3",), ("5",)]
 
 
+def test_cooccurrence_with_a_large_group(spark):
+    rng = random.Random(9)
+    data = [(g, rng.randrange(30)) for g in range(60) for _ in range(5)] + [(1000, i) for i in range(30)] + [(None, 1), (5, None)]
+    sets = {}
+    for g, i in data:
+        if g is not None and i is not None:
+            sets.setdefault(g, set()).add(i)
+    want = {}
+    for s in sets.values():
+        for a, b in itertools.combinations(sorted(s), 2):
+            want[a, b] = want.get((a, b), 0) + 1
+    known = spark.createDataFrame([(0, 1)], "a int, b int")
+    df = spark.createDataFrame(data, "g int, i int")
+    for large in (10, 1000):
+        got = {(r["a"], r["b"]): r["groups"] for r in events.cooccurrence(df, "g", "i", 3, known, large).collect()}
+        assert got == {k: n for k, n in want.items() if n >= 3 and k != (0, 1)}
+
+
+def test_spans_and_vectors(spark):
+    from mossbrook.functions import spans, vectors
+    from mossbrook.operators import context
+
+    t = spark.createDataFrame([(1, "the alpha beta gamma"), (2, None), (3, "")], "doc_id int, text string")
+    words = spark.createDataFrame([("alphabeta", "c1"), ("betagamma", "c2"), ("gamma", "c3"), ("alpha", "c4")], "alias_norm string, concept_id string")
+    found = spans.occurrences(t, words, "doc_id")
+    assert rows(spans.longest_first(found, "doc_id").select("start", "concept_id")) == [(2, "c1"), (4, "c3")]
+    assert rows(spans.maximal(found, "doc_id").select("start", "concept_id")) == [(2, "c1"), (3, "c2")]
+    v = [r[0] for r in t.orderBy("doc_id").select(vectors.embed(F.col("text"), 16)).collect()]
+    assert sum(x * x for x in v[0]) == pytest.approx(1.0) and v[1] == v[2] == [0.0] * 16
+    assert spark.createDataFrame([("a b a",)], "t string").select(vectors.sparse(F.col("t"))).first()[0] and True
+    items = spark.createDataFrame([(1, 'so: {"verdict": "keep", "confidence": 0.9} ok'), (2, '{"verdict": "dismiss", "confidence": 0.2}'), (3, "nonsense"), (4, None), (5, '{"verdict": "keep", "confidence": 7}')], "item_id int, payload string")
+    assert [r["verdict"] for r in context.adjudicated(items).orderBy("item_id").collect()] == ["keep", "soft_downrank", "unclear", "unclear", "unclear"]
+    m = spark.createDataFrame([({"a": "5 mg", "b": "many", "c": "< 0.5"},)], "m map<string,string>")
+    assert m.select(context.quantities(F.col("m"))).first()[0] == {"a": "5 mg", "c": "< 0.5"}
+
+
 def test_percentiles_are_exact(spark):
     d = spark.createDataFrame([("a", float(v)) for v in [5, 1, 1, 3, 9]] + [("b", None)], "g string, v double")
     assert rows(quality.nearest_rank(d, ["g"], "v", {"p50": 0.5, "p95": 0.95})) == [("a", 5, 3.0, 9.0)]
