@@ -79,13 +79,13 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))[1]
 
 
-def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return toxicity.scores(_t(spark, d, "documents"), _t(spark, d, "content_labels"))
+def _scores(spark: SparkSession, d: str, least: float = 0.0) -> DataFrame:
+    return toxicity.scores(_t(spark, d, "documents"), _t(spark, d, "content_labels"), least)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the categories of harmful language they hold."""
-    return toxicity.flagged(_scores(spark, d))
+    return toxicity.flagged(_scores(spark, d, min(toxicity.THRESHOLDS.values())))
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +95,7 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     """Rates per source."""
-    return toxicity.rates(_scores(spark, d))
+    return toxicity.rates(_scores(spark, d, min(toxicity.THRESHOLDS.values())))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
