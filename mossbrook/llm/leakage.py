@@ -132,17 +132,18 @@ def seeded_documents(docs: DataFrame, seed: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "words": pd.Series(texts, dtype=object), "hits": pd.Series(hits, dtype=object)})
 
     return (
-        docs.where(F.length("text") > 2 * MIN_WORDS)
+        docs.where(F.col("text").isNotNull())
         .select("doc_id", "text")
         .mapInPandas(run, "doc_id long, words array<string>, hits array<struct<gram:long,at:int>>")
     )
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
+def align(a: np.ndarray, b: np.ndarray, used: dict[int, list[int]] | None = None) -> tuple[int, int, int, int, int]:
     """Smith-Waterman (match 2, altered or missing or added word -2) of passage a in text b.
 
     Of the best alignment, the longest stretch with at most ``MAX_ALTERED`` of its passage words altered:
-    (words of the passage, altered, first in a, first in b, score)."""
+    (words of the passage, altered, first in a, first in b, score). Equal words in ``used``, places in b by place in a,
+    don't match again; those of the alignment are added."""
     n, m = len(a), len(b)
     if not n or not m:
         return 0, 0, 0, 0, 0
@@ -150,14 +151,17 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
     slope = 2 * np.arange(m + 1, dtype=np.int32)
     for i in range(1, n + 1):
         row = table[i - 1] - 2
-        row[1:] = np.maximum(row[1:], table[i - 1][:-1] + np.where(b == a[i - 1], 2, -2))
+        equal = b == a[i - 1]
+        if used and i - 1 in used:
+            equal[used[i - 1]] = False
+        row[1:] = np.maximum(row[1:], table[i - 1][:-1] + np.where(equal, 2, -2))
         row = np.maximum(row, 0)
         table[i] = np.maximum.accumulate(row + slope) - slope
     i, j = np.unravel_index(int(table.argmax()), table.shape)
     score = int(table[i, j])
     ops: list[tuple[int, int, int, int]] = []  # words of a, altered, place in a, place in b
     while table[i, j] > 0:
-        same = i and j and a[i - 1] == b[j - 1]
+        same = i and j and a[i - 1] == b[j - 1] and not (used and j - 1 in used.get(i - 1, ()))
         if i and j and table[i, j] == table[i - 1, j - 1] + (2 if same else -2):
             i, j = i - 1, j - 1
             ops.append((1, int(not same), i, j))
@@ -168,6 +172,10 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
             j -= 1
             ops.append((0, 1, i, j))
     ops.reverse()
+    if used is not None:
+        for one, bad, at_a, at_b in ops:
+            if one and not bad:
+                used.setdefault(int(at_a), []).append(int(at_b))
     best = (0, 0, 0, 0, score)
     if ops:
         c = np.cumsum([[0, 0]] + [o[:2] for o in ops], axis=0)
@@ -181,6 +189,18 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
     return best
 
 
+def longest(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
+    """As ``align``, the longest stretch of all alignments, not of the best one only: aligned again without the pairs of words
+    of those before, until a longer stretch can't be left, as one of n words scores (2 - 4 * MAX_ALTERED) * n at least."""
+    used: dict[int, list[int]] = {}
+    best = (0, 0, 0, 0, 0)
+    while True:
+        got = align(a, b, used)
+        best = max(best, got, key=lambda x: (x[0], x[4]))
+        if best[0] == len(a) or got[4] < (2 - 4 * MAX_ALTERED) * max(best[0] + 1, MIN_WORDS):
+            return best
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
@@ -188,7 +208,7 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             margin = 2 * len(r.passage_words)
             lo = max(0, r.first - margin)
             a, b = _hashes(list(r.passage_words)), _hashes(list(r.words[lo : r.last + GRAM + margin]))
-            span, altered, at_a, at_b, score = align(a, b)
+            span, altered, at_a, at_b, score = longest(a, b)
             rows.append((r.doc_id, r.passage, span, altered, at_a, at_b + lo, score))
         yield pd.DataFrame(rows, columns=["doc_id", "passage", "span", "altered", "passage_at", "doc_at", "score"])
 

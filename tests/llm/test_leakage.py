@@ -63,3 +63,16 @@ def test_whole_text_of_a_long_document(spark):
     d = spark.createDataFrame([(1, long)], "doc_id long, text string")
     i = spark.createDataFrame([(7, " ".join(PASSAGE) + "\n?")], "item_id long, text string")
     assert rows(K.leaks(d, i).select("doc_id", "item_id")) == [(1, 7)]
+
+
+def test_clean_part_beside_a_loose_copy(spark):
+    """The best alignment holds no stretch; another one of the same document and passage does. Han characters are words."""
+    rng = random.Random(9)
+    passage = [rng.choice(VOCABULARY) for _ in range(120)]
+    loose = altered(passage, 5)
+    han = "".join(chr(0x4E00 + i) for i in rng.sample(range(4000), 40))
+    texts = [loose + ["pad"] * 300 + passage[40:70], passage[40:70] + ["pad"] * 9 + loose, loose[:60] + passage[10:40] + loose[60:], loose]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(9, han[:30])], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(passage) + "\n?"), (8, han + "\n?")], "item_id long, text string")
+    got = rows(K.leaks(docs, items).select("doc_id", "item_id", "span"))
+    assert [r[:2] for r in got] == [(0, 7), (1, 7), (2, 7), (9, 8)] and min(r[2] for r in got) >= 30
