@@ -104,27 +104,33 @@ def siblings(tree: DataFrame) -> DataFrame:
     return tree.select("node_id", F.lag("node_id").over(w).alias("before"), F.lead("node_id").over(w).alias("after"))
 
 
+def _by_level(values: dict[int, Column], level: Column) -> Column:
+    """The value of a row's level; a level without one is an error."""
+    out = F.raise_error(F.concat(F.lit("heading level out of range: "), F.coalesce(level.cast("string"), F.lit("null"))))
+    for k, v in values.items():
+        out = F.when(level == k, v).otherwise(out)
+    return out
+
+
 def section_ranges(sections: DataFrame) -> DataFrame:
     """(document_id, ordinal, level, start_page, end_page): a section ends on the page before the next of its level or
-    above. One ordered array per document; documents have few headings."""
-    w = F.array_sort(F.collect_list(F.struct("ordinal", "level", "start_page"))).alias("s")
-    d = sections.groupBy("document_id").agg(w, F.max("start_page").alias("pages"))
-    x = d.select("document_id", "pages", "s", F.posexplode("s").alias("i", "h"))
-    later = F.filter(F.slice("s", F.col("i") + 2, F.size("s")), lambda n: n["level"] <= F.col("h.level"))
-    end = F.when(F.size(later) > 0, F.greatest(F.col("h.start_page"), F.get(later, F.lit(0))["start_page"] - 1)).otherwise(F.greatest(F.lit(1), F.col("pages")))
-    return x.select("document_id", "h.ordinal", "h.level", "h.start_page", end.alias("end_page"))
+    above; of several at one place, the first by page. One running value per level from the end of the document, so a document of many headings needs no array."""
+    w = Window.partitionBy("document_id").orderBy(F.desc("ordinal")).rangeBetween(Window.unboundedPreceding, -1)
+    pages = F.max("start_page").over(Window.partitionBy("document_id"))
+    later = {k: F.min(F.when(F.col("level") <= k, F.struct("ordinal", "start_page"))).over(w) for k in S.HEADING_LEVELS}
+    x = sections.withColumn("__pages", pages).select("*", *[v.alias(f"__next{k}") for k, v in later.items()])
+    after = _by_level({k: F.col(f"__next{k}") for k in later}, F.col("level"))
+    end = F.when(after.isNotNull(), F.greatest(F.col("start_page"), after["start_page"] - 1)).otherwise(F.greatest(F.lit(1), F.col("__pages")))
+    return x.select("document_id", "ordinal", "level", "start_page", end.alias("end_page"))
 
 
 def repaired_levels(sections: DataFrame) -> DataFrame:
-    """(document_id, ordinal, level): no level more than one below the one before it, as repaired."""
-    d = sections.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "level"))).alias("s"))
-    start = F.array().cast("array<struct<ordinal:bigint,level:int>>")
-
-    def step(acc: Column, h: Column) -> Column:
-        prev = F.coalesce(F.try_element_at(acc, F.lit(-1))["level"], F.lit(0))
-        return F.concat(acc, F.array(F.struct(h["ordinal"].cast("bigint").alias("ordinal"), F.greatest(F.lit(1), F.least(h["level"], prev + 1)).cast("int").alias("level"))))
-
-    return d.select("document_id", F.explode(F.aggregate("s", start, step)).alias("h")).select("document_id", "h.ordinal", "h.level")
+    """(document_id, ordinal, level): no level more than one below the one before it, as repaired. Unrolled, the i-th level is
+    i plus the least of 1 and all levels up to it, each less its place: a running minimum."""
+    w = Window.partitionBy("document_id").orderBy("ordinal", "level")
+    x = sections.select("document_id", "ordinal", F.greatest(F.lit(1), "level").alias("level")).withColumn("__i", F.row_number().over(w) - 1)
+    low = F.min(F.col("level") - F.col("__i")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return x.select("document_id", F.col("ordinal").cast("bigint").alias("ordinal"), (F.col("__i") + F.least(F.lit(1), low)).cast("int").alias("level"))
 
 
 def assign_deepest(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -153,8 +159,8 @@ def merged_headings(candidates: DataFrame) -> DataFrame:
 
 
 def parent_by_level(sections: DataFrame) -> DataFrame:
-    """(document_id, ordinal, parent_ordinal): the last heading before with a lower level."""
-    d = sections.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "level"))).alias("s"))
-    x = d.select("document_id", "s", F.posexplode("s").alias("i", "h"))
-    above = F.filter(F.slice("s", F.lit(1), F.col("i")), lambda p: p["level"] < F.col("h.level"))
-    return x.select("document_id", "h.ordinal", F.when(F.size(above) > 0, F.element_at(above, -1)["ordinal"]).alias("parent_ordinal"))
+    """(document_id, ordinal, parent_ordinal): the last heading before with a lower level; one running value per level."""
+    w = Window.partitionBy("document_id").orderBy("ordinal").rangeBetween(Window.unboundedPreceding, -1)
+    above = {k: F.max(F.when(F.col("level") < k, F.col("ordinal"))).over(w) for k in S.HEADING_LEVELS}
+    x = sections.select("*", *[v.alias(f"__above{k}") for k, v in above.items()])
+    return x.select("document_id", "ordinal", _by_level({k: F.col(f"__above{k}") for k in above}, F.col("level")).alias("parent_ordinal"))

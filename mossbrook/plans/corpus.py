@@ -98,10 +98,12 @@ SECTIONS = f"""sec AS (SELECT document_id, CAST(sort_order AS BIGINT) AS ordinal
       WHERE node_kind IN ('document', 'section', 'subsection') AND page IS NOT NULL AND document_id NOT LIKE 'DOC:DOSSIER%' AND sort_order IS NOT NULL)"""
 
 
-def _sections(spark, d):
+def _sections(spark, d, whole=False):
     n = C.nodes(table(spark, d, "tree_nodes"))
     level = F.when(F.col("node_kind") == "document", 1).when(F.col("node_kind") == "section", 2).otherwise(4)
     s = n.where(F.col("node_kind").isin("document", "section", "subsection") & F.col("page").isNotNull() & ~F.col("document_id").like("DOC:DOSSIER%") & F.col("sort_order").isNotNull())
+    if whole:
+        s = n.where(F.col("node_kind").isin("document", "section", "subsection") & F.col("page").isNotNull() & F.col("sort_order").isNotNull())
     return n, s.select("document_id", F.col("sort_order").cast("bigint").alias("ordinal"), level.alias("level"), F.col("page").alias("start_page"))
 
 
@@ -143,6 +145,36 @@ def heading_parents(spark, d):
     return C.parent_by_level(_sections(spark, d)[1])
 
 
+# The same five over all documents, the dossier included, which the SQL above leaves out.
+@book.query()
+def section_ranges_whole(spark, d):
+    return C.section_ranges(_sections(spark, d, True)[1])
+
+
+@book.query()
+def section_range_assign_whole(spark, d):
+    n, s = _sections(spark, d, True)
+    b = n.where("node_kind = 'table' and page is not null").select("document_id", F.col("node_id").alias("block_id"), "page")
+    return C.assign_deepest(b, C.section_ranges(s))
+
+
+@book.query()
+def asof_section_whole(spark, d):
+    n, s = _sections(spark, d, True)
+    b = n.where("node_kind in ('table', 'figure') and page is not null").select("document_id", F.col("node_id").alias("row_id"), "page")
+    return C.as_of(b, s.select("document_id", F.col("start_page").alias("page"), "ordinal"), "document_id", "page", "ordinal")
+
+
+@book.query()
+def heading_levels_repaired_whole(spark, d):
+    return C.repaired_levels(_sections(spark, d, True)[1])
+
+
+@book.query()
+def heading_parents_whole(spark, d):
+    return C.parent_by_level(_sections(spark, d, True)[1])
+
+
 @book.query(f"""WITH {NODES}, c AS (SELECT document_id, page, content AS title, 'layout' AS source, 0.72 AS confidence FROM n WHERE node_kind IN ('section', 'subsection') AND content IS NOT NULL
       UNION ALL SELECT document_id, page, list_last(string_split({U}, ' / ')), 'path', 0.62 FROM n WHERE node_kind IN ('section', 'subsection', 'paragraph') AND section_path IS NOT NULL),
     g AS (SELECT document_id, page, lower(trim(title)) AS key, max(confidence) AS c, arg_max(title, confidence * 10 + 0) AS t0, max(CASE WHEN confidence = 0.72 THEN title END) AS t1, max(title) AS t2, count(DISTINCT source) AS sources FROM c GROUP BY 1, 2, 3)

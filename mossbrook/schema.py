@@ -51,3 +51,5 @@ def conform(df: DataFrame, schema: str | T.StructType) -> DataFrame:
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     have = set(df.columns)
     return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+#: Levels a heading can have.
+HEADING_LEVELS = range(1, 10)
