@@ -227,6 +227,12 @@ def multi_source_conflict(spark, d):
     return K.spread_conflicts(table(spark, d, "lineitem").where("l_quantity > 40"), ["l_partkey"], F.col("l_extendedprice"))
 
 
+# The same over all quantities.
+@book.query()
+def multi_source_conflict_whole(spark, d):
+    return K.spread_conflicts(table(spark, d, "lineitem"), ["l_partkey"], F.col("l_extendedprice"))
+
+
 @book.query(f"""WITH {NODES}, t AS (SELECT node_id, content, string_split(content, chr(10)) AS rows FROM n WHERE node_kind = 'table' AND length(content) > 0), r AS (SELECT node_id, string_split(rows[1], ' | ') AS h, unnest(rows[2:]) AS r, generate_subscripts(rows[2:], 1) - 1 AS row_no FROM t),
     c AS (SELECT node_id, row_no, string_split(r, ' | ') AS c, h, unnest(range(1, len(h) + 1)) AS k FROM r), f AS (SELECT node_id, row_no, c[1] AS row_key, trim(h[k]) AS header, trim(c[k]) AS value FROM c WHERE c[k] IS NOT NULL)
     SELECT node_id, CAST(row_no AS INTEGER) AS row_no, row_key, CASE lower(header) WHEN 'n' THEN 'arm_size' ELSE 'effect' END AS metric, CASE lower(header) WHEN 'n' THEN 'count' ELSE 'percent' END AS unit,

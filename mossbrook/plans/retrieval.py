@@ -22,13 +22,14 @@ DENSE = """dq AS (SELECT vec_id AS qid, list_transform(embedding, lambda x: x::D
     de AS (SELECT qid, vec_id, round(list_cosine_similarity(v, list_transform(embedding, lambda x: x::DOUBLE)), 6) AS score FROM embeddings, dq)"""
 
 
-def _queries(spark, d):
-    q = table(spark, d, "eval_items").where("suite = 'trialqa'")
+def _queries(spark, d, whole=False):
+    q = table(spark, d, "eval_items")
+    q = q if whole else q.where("suite = 'trialqa'")
     return q.select(F.col("item_id").alias("qid"), F.element_at(F.split("text", "\n"), -1).alias("query"))
 
 
-def _lexical(spark, d):
-    return R.bm25(_queries(spark, d), table(spark, d, "documents"), "doc_id", "text")
+def _lexical(spark, d, whole=False):
+    return R.bm25(_queries(spark, d, whole), table(spark, d, "documents"), "doc_id", "text")
 
 
 @book.query(f"WITH {BM25}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM bm) SELECT qid, doc_id AS key, score, rank FROM r WHERE rank <= 10")
@@ -36,6 +37,12 @@ def bm25_channel(spark, d):
     return R.channel(_lexical(spark, d), "lexical", "doc_id").where("rank <= 10").select("qid", "key", "score", "rank")
 
 
+# The same for the items of all suites, of which the SQL takes one.
+@book.query()
+def bm25_channel_whole(spark, d):
+    return R.channel(_lexical(spark, d, True), "lexical", "doc_id").where("rank <= 10").select("qid", "key", "score", "rank")
+
+
 @book.query(f"WITH {DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM de) SELECT qid, vec_id, score FROM r WHERE rank <= 10")
 def dense_channel(spark, d):
     e = table(spark, d, "embeddings")

@@ -32,3 +32,18 @@ def test_many_headings_against_brute_force(spark):
             parent.append((doc, o, next((p for p, q in reversed(before) if q < lv), None)))
             before.append((o, lv))
     assert rows(C.repaired_levels(df)) == sorted(level, key=repr) and rows(C.parent_by_level(df)) == sorted(parent, key=repr)
+
+
+FILTERS = {
+    "khop_weighted": " WHERE l_quantity >= 49", "adjacency": " WHERE l_quantity >= 49", "multi_source_conflict": " WHERE l_quantity > 40", "ngram_similarity_top1": " WHERE p_partkey % 2 = 0",
+    "bm25_channel": " WHERE suite = 'trialqa'",
+}
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(FILTERS))
+def test_all_rows_are_in(spark, name):
+    sql = registry.ORACLES[name]
+    assert FILTERS[name] in sql
+    got, cut = table(registry.QUERIES[f"{name}_whole"](spark, DIR).toPandas()), table(duck(sql))
+    assert got == table(duck(sql.replace(FILTERS[name], ""))) and got != cut
