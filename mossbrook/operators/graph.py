@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -40,15 +41,15 @@ def walk(seeds: DataFrame, edges: DataFrame, hops: int = 2, cross: Sequence[str]
     return best.select("seed", "node", (-F.col("b.h")).alias("hops"), F.round("b.weight", 6).alias("weight"))
 
 
-def descendants(roots: DataFrame, edges: DataFrame, levels: int = 20) -> DataFrame:
-    """(root, node, depth) below each root along (parent, child); the shortest depth. Cycles end at ``levels``.
+def descendants(roots: DataFrame, edges: DataFrame, levels: int | None = None) -> DataFrame:
+    """(root, node, depth) below each root along (parent, child); the shortest depth; to ``levels`` at most, if given.
 
-    Goes level by level and stops when a level adds nothing; the frontier alone is joined each time.
+    Goes level by level and stops when a level adds nothing, so cycles end; the frontier alone is joined each time.
     """
     e = edges.select(F.col("parent").alias("p"), F.col("child").alias("c")).where(F.col("p").isNotNull() & F.col("c").isNotNull()).distinct()
     seen = roots.select("root").distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
     frontier = seen
-    for k in range(1, levels + 1):
+    for k in itertools.count(1) if levels is None else range(1, levels + 1):
         step = frontier.join(e, F.col("node") == F.col("p")).select("root", F.col("c").alias("node"), F.lit(k).alias("depth")).distinct()
         frontier = cut_lineage(step.join(seen, ["root", "node"], "left_anti").select("root", "node", "depth"))
         if frontier.isEmpty():
@@ -62,8 +63,8 @@ def expansion(found: DataFrame) -> DataFrame:
     return found.withColumn("weight", F.round(F.pow(F.lit(S.DEPTH_DECAY), F.col("depth")), 6))
 
 
-def on_cycle(edges: DataFrame, levels: int = 20) -> DataFrame:
-    """(node) of those that reach themselves along (parent, child) within ``levels`` steps."""
+def on_cycle(edges: DataFrame, levels: int | None = None) -> DataFrame:
+    """(node) of those that reach themselves along (parent, child), by ``levels`` steps and one more at most, if given."""
     starts = edges.select(F.col("parent").alias("root")).distinct()
     below = descendants(starts, edges, levels)
     back = below.join(edges.select(F.col("parent").alias("node"), F.col("child").alias("c")), "node").where(F.col("c") == F.col("root"))

@@ -116,7 +116,7 @@ def hierarchy_cycles(spark, d):
     c = table(spark, d, "concept_ids")
     r = c.where(F.col("replaced_by").isNotNull())
     e = c.select(F.col("concept_id").alias("parent"), F.explode("consider").alias("child")).union(r.select("replaced_by", "concept_id")).union(r.select("concept_id", "replaced_by"))
-    return G.on_cycle(e.distinct(), levels=6)
+    return G.on_cycle(e.distinct())
 
 
 QUADS = """q AS (SELECT 'g:supplier' AS g, CAST(s_suppkey AS VARCHAR) AS s, 'name' AS p, s_name AS o FROM supplier UNION ALL SELECT 'g:supplier', CAST(s_suppkey AS VARCHAR), 'nation', CAST(s_nationkey AS VARCHAR) FROM supplier

@@ -5,6 +5,7 @@ import os
 import pytest
 
 from mossbrook.operators import corpus as C
+from mossbrook.operators import graph as G
 from mossbrook.plans import registry
 from tests.conftest import rows
 from tests.oracle import DIR, duck, table
@@ -47,3 +48,12 @@ def test_all_rows_are_in(spark, name):
     assert FILTERS[name] in sql
     got, cut = table(registry.QUERIES[f"{name}_whole"](spark, DIR).toPandas()), table(duck(sql))
     assert got == table(duck(sql.replace(FILTERS[name], ""))) and got != cut
+
+
+def test_long_cycles_are_reported(spark, tmp_path):
+    """A cycle of nine concepts through the query, and all of a path of 22 steps."""
+    names = [f"c{i}" for i in range(9)]
+    spark.createDataFrame([(c, [names[(i + 1) % 9]], None) for i, c in enumerate(names)], "concept_id string, consider array<string>, replaced_by string").write.parquet(f"{tmp_path}/concept_ids.parquet")
+    assert rows(registry.QUERIES["hierarchy_cycles"](spark, str(tmp_path))) == [(c,) for c in names]
+    path = spark.createDataFrame([(i, i + 1) for i in range(22)], "parent int, child int").coalesce(1)
+    assert G.descendants(spark.createDataFrame([(0,)], "root int"), path).count() == 23
