@@ -35,12 +35,19 @@ MARKS = "-‐­¬"
 RATIO = 3
 #: Letters from which on a word may hold two confusions; shorter words come too close to others.
 LONG_WORD = 7
+LONGEST = 80
 BITS = 23
 EDGE_LINES = 2
-_BREAK = re.compile(rf"\S+[{MARKS}] ?\n\s*\S+")
+# From the first character of a token only: a long unbroken run is read once, not from each of its characters.
+BROKEN = rf"(?<!\S)\S+[{MARKS}] ?\n\s*\S+"
+_BREAK = re.compile(BROKEN)
+_PARTS = re.compile(rf"(?<!\S)(\S+)([{MARKS}]) ?\n\s*(\S+)")
 _INNER = re.compile(r"[!†]?[^\W_](?:[\w!†]*[^\W_])?[!†]?")
 NUMBER = re.compile(r"(?=[\dlOSB.,/]*\d)(?=[\dlOSB.,/]*[lOSB])[\dlO][\dlOSB]*(?:[.,/][\dlOSB]+)*")
-SHAPE_DOCS = 5
+#: A shape of header stands in this share of the documents with edge lines, and in three of them at least.
+SHAPE_SHARE, SHAPE_DOCS = 0.001, 3
+#: Share of all words from which on a word is a familiar one.
+FAMILIAR = 1e-5
 
 
 def char_value(c: str) -> int:
@@ -53,8 +60,9 @@ def anagram(word: str) -> int:
 
 
 def token_words(token: str) -> list[str]:
-    """The words of a token between blanks, case folded: its parts at hyphens, and each two neighbours as 'a-b'."""
-    found = [m.group().casefold() for part in token.split("-") if (m := _INNER.search(part))]
+    """The words of a token between blanks, case folded: its parts at hyphens, and each two neighbours as 'a-b'. A part of several
+    words, as at a slash, gives each; a run of more than ``LONGEST`` characters is cut, so that all of it is read."""
+    found = [w[k : k + LONGEST] for part in token.split("-") for w in _INNER.findall(part.casefold()) for k in range(0, len(w), LONGEST)]
     if len(found) < 2:
         return found
     return found + [f"{a}-{b}" for a, b in zip(found, found[1:])]
@@ -69,10 +77,11 @@ class Tokens:
     def __call__(self, token: str) -> list[str]:
         got = self.kept.get(token)
         if got is None:
-            got = token_words(token) if len(token) < 80 else []
+            got = token_words(token)
             if len(self.kept) >= self.size:
                 self.kept.clear()
-            self.kept[token] = got
+            if len(token) < LONGEST:
+                self.kept[token] = got
         return got
 
 
@@ -187,7 +196,8 @@ def misread_places(nodes: DataFrame, fixes: DataFrame) -> DataFrame:
                             hits += ("",)
                         if len(known) > 400_000:
                             known.clear()
-                        known[token] = hits
+                        if len(token) < LONGEST:
+                            known[token] = hits
                     if hits:
                         lines = [k for k, line in enumerate(text.split("\n")) if token in line.split()]
                         rows += [(node, k, w or token.strip(".,;:()"), not w) for k in lines for w in hits]
@@ -206,7 +216,7 @@ def divisions(nodes: DataFrame, counts: DataFrame) -> DataFrame:
     is more frequent; if it knows neither, parts that are both words of their own make a compound, as do codes.
     """
     ends = [F.contains("content", F.lit(mark + gap + "\n")) for mark in MARKS for gap in ("", " ")]
-    broken = nodes.where(reduce(or_, ends)).select("node_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(rf"\S+[{MARKS}] ?\n\s*\S+"), F.lit(0)))).alias("at"))
+    broken = nodes.where(reduce(or_, ends)).select("node_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(BROKEN), F.lit(0)))).alias("at"))
     parts = rf"^(\S+)([{MARKS}]) ?\n\s*(\S+)$"
     each = cut_lineage(broken.select("node_id", *[F.regexp_extract("at", parts, k).alias(n) for k, n in ((1, "left"), (2, "mark"), (3, "right"))]))
     each = each.withColumn("a", F.lower(F.regexp_extract("left", r"([\p{L}\p{N}!†]+)$", 1))).withColumn("z", F.lower(F.regexp_extract("right", r"^([\p{L}\p{N}!†]+)", 1)))
@@ -227,10 +237,11 @@ def divisions(nodes: DataFrame, counts: DataFrame) -> DataFrame:
         )
     )
     judged = each.join(known, ["a", "z"], "left").na.fill(0, ["joined", "compound", "na", "nz"])
+    judged = judged.join(F.broadcast(counts.agg((F.coalesce(F.sum("n"), F.lit(0)) * FAMILIAR).alias("familiar"))))
     code = F.col("z").rlike(r"^[0-9Ͱ-Ͽ]") | F.col("left").rlike(r"[0-9]$") | F.col("right").rlike(r"^[0-9]")
     by_corpus = F.when(F.col("joined") > F.col("compound"), True).when(F.col("compound") > 0, False).when(code, False)
     divided = F.when((F.col("a") == "") | (F.col("z") == ""), False).when(F.col("mark") != "-", True).otherwise(
-        F.coalesce(by_corpus, ~((F.col("na") >= 50) & (F.col("nz") >= 50)))
+        F.coalesce(by_corpus, ~((F.col("na") >= F.greatest(F.lit(RATIO), "familiar")) & (F.col("nz") >= F.greatest(F.lit(RATIO), "familiar"))))
     )
     return judged.select("node_id", "left", "mark", "right", divided.alias("divided"))
 
@@ -278,8 +289,8 @@ def edge_parts(nodes: DataFrame) -> DataFrame:
 def edge_noise(nodes: DataFrame) -> DataFrame:
     """(node_id, line, noise, part) of running headers and page numbers.
 
-    A header resembles the title, or has a shape (digits as #) that starts or ends pages of ``SHAPE_DOCS`` documents
-    or more and is no line of text, or comes back on another page of its section. A page number has one of the usual
+    A header resembles the title, or has a shape (digits as #) that starts or ends pages of ``SHAPE_SHARE`` of the
+    documents and is no line of text, or comes back on another page of its section. A page number has one of the usual
     forms; a lone number must keep the distance to the page that others of its section keep, or follow no list.
     """
     parts = cut_lineage(edge_parts(nodes).distinct())
@@ -302,7 +313,8 @@ def edge_noise(nodes: DataFrame) -> DataFrame:
         parts.where(worded & few & ~F.col("like_title") & F.contains("shape", F.lit("#")) & ((F.col("rank") == 1) | ~F.col("alone")))
         .select("shape", *group, "part").distinct()
         .groupBy("shape").agg(F.count_distinct("document_id").alias("docs"), F.count_distinct("part").alias("forms"))
-        .where((F.col("docs") >= SHAPE_DOCS) & (F.col("forms") >= SHAPE_DOCS) & ~F.col("shape").rlike(r"^#"))
+        .join(F.broadcast(parts.agg(F.greatest(F.lit(SHAPE_DOCS), F.count_distinct("document_id") * SHAPE_SHARE).alias("least"))))
+        .where((F.col("docs") >= F.col("least")) & (F.col("forms") >= F.col("least")) & ~F.col("shape").rlike(r"^#"))
     )
     again = parts.where(worded & ~F.col("like_title")).groupBy(*group, "part").agg(F.count_distinct("page").alias("pages")).where("pages > 1")
     headers = parts.where(F.col("like_title")).select("node_id", "line", "part")
@@ -381,7 +393,8 @@ def rebuild(text: str, drop: dict[int, list[str]], divided: set[tuple[str, str,
             line = "   ".join(rest)
         lines.append(line)
     body = "\n".join(lines)
-    body = re.sub(rf"(\S+)([{MARKS}]) ?\n\s*(\S+)", lambda m: m[1] + ("" if m.groups() in divided else m[2]) + m[3], body)
+    if divided or any(mark in body for mark in MARKS):
+        body = _PARTS.sub(lambda m: m[1] + ("" if m.groups() in divided else m[2]) + m[3], body)
     blocks = re.split(r"\n[ \t]*\n|\n(?=[ \t]{2,}\S)|(?<=:)\n(?=\d)|(?<=\d)\n(?=\d+$)", body, flags=re.M)
     out = []
     for b in blocks:

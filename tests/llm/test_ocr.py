@@ -84,3 +84,40 @@ def test_corrections_equal_brute_force(spark):
 def test_anagram_differences():
     for a, b in R.CONFUSIONS:
         assert R.anagram("x" + b + "y") + R.anagram(a) - R.anagram(b) == R.anagram("x" + a + "y")
+
+
+def test_long_runs_are_read_once_and_whole():
+    """A run of 400,000 unbroken characters costs no more than its length, and its words count."""
+    import time
+
+    run = "Ab-" * 100_000 + "x" * 100_000
+    began = time.perf_counter()
+    assert R.rebuild(run + "\nimprove-\nment", {}, {("improve", "-", "ment")}, {}) == run + " improvement"
+    assert R._BREAK.sub(" ", run + "-\nb end") == "  end"
+    assert time.perf_counter() - began < 5
+    assert R.token_words("Zestabra/Stadaflu") == ["zestabra", "stadaflu", "zestabra-stadaflu"]
+    assert "".join(R.token_words("y" * 250)[:4]) == "y" * 250
+
+
+def test_generated_pages_come_back(spark):
+    """Pages with divided words, headers and numbers added by rule come out as the text they were made of."""
+    r = random.Random(11)
+    clean, rows_ = {}, []
+    for d in range(12):
+        for p in range(1, 6):
+            words = text(60, 1000 + d * 50 + p)
+            out, k = [], 0
+            while k < len(words):
+                line = words[k : k + 8]
+                k += 8
+                if k < len(words) and len(line[-1]) > 7 and r.random() < 0.5:
+                    out.append(" ".join(line[:-1] + [line[-1][:4] + "-"]))
+                    words[k : k + 1] = [line[-1][4:], words[k]]
+                else:
+                    out.append(" ".join(line))
+            clean[f"g{d}-{p}"] = " ".join(text(60, 1000 + d * 50 + p))
+            rows_.append((f"g{d}-{p}", f"gen{d}", f"gensec{d}", "paragraph", f"{TITLE} / Scan", p, "\n".join([TITLE[:44], *out, f"Page {p + 4}"]), "x"))
+    rows_ += [(f"plain{i}", "plain", "plainsec", "paragraph", "Plain", i, " ".join(text(80, 5000 + i)), "x") for i in range(20)]
+    got = {x["node_id"]: x["content"] for x in R.repaired(spark.createDataFrame(rows_, SCHEMA)).collect()}
+    same = sum(got[n] == t for n, t in clean.items())
+    assert same >= 0.95 * len(clean), [(got[n], t) for n, t in clean.items() if got[n] != t][:2]
