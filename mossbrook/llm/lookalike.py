@@ -54,41 +54,42 @@ def _char(ch: str) -> str:
     return "".join("-" if c in HYPHENS else CONFUSABLE.get(c, c) for c in unicodedata.normalize("NFKD", ch))
 
 
-def one_form(text: str | None, fold_case: bool = False) -> str | None:
-    """The consistent form of a text; null stays null, a text of nothing visible becomes ''."""
+def one_form(text: str | None, fold_case: bool = False, keep_runs: bool = False) -> str | None:
+    """The consistent form of a text; null stays null, a text of nothing visible becomes ''. Several blanks become one unless
+    ``keep_runs``: they show, so they belong to the look."""
     if text is None:
         return None
     if not text.isascii():
         text = unicodedata.normalize("NFC", _BEYOND_ASCII.sub(lambda m: _char(m.group()), text))
-    text = " ".join(text.split())
+    text = re.sub(r"\s", " ", text).strip() if keep_runs else " ".join(text.split())
     if fold_case:
         text = unicodedata.normalize("NFC", text.casefold())
     return text
 
 
-def _each_distinct(values: pd.Series, fold: bool) -> pd.Series:
+def _each_distinct(values: pd.Series, fold: bool, keep_runs: bool) -> pd.Series:
     codes, distinct = pd.factorize(values, use_na_sentinel=True)
-    forms = [one_form(v, fold) for v in distinct]
+    forms = [one_form(v, fold, keep_runs) for v in distinct]
     return pd.Series([None if c < 0 else forms[c] for c in codes], dtype=object)
 
 
 @F.pandas_udf(T.StringType())
 def _look(values: pd.Series) -> pd.Series:
-    return _each_distinct(values, False)
+    return _each_distinct(values, False, True)
 
 
 @F.pandas_udf(T.StringType())
 def _folded(values: pd.Series) -> pd.Series:
-    return _each_distinct(values, True)
+    return _each_distinct(values, True, False)
 
 
 def look(c: Column | str) -> Column:
-    """What a value looks like: equal for values that can't be told apart by eye; letter case counts."""
+    """What a value looks like: equal for values that can't be told apart by eye; letter case and the number of blanks count."""
     return _look(c)
 
 
 def canonical(c: Column | str) -> Column:
-    """The form for comparisons: as ``look``, with full case folding."""
+    """The form for comparisons: as ``look``, with full case folding and one blank for several."""
     return _folded(c)
 
 

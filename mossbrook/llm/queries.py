@@ -102,7 +102,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_pieces, p4_found, p4_forms, p5_found, p5_matches, p6_found, p6_alignments, p7_records, p7_report, p8_found, p8_scores, p8_rates)
 }
 
+def _look_sql(value: str) -> str:
+    """The look of a value in SQL: one character for one by ``translate``, by the rule of ``lookalike``; then what becomes several."""
+    chars = [(c, lookalike.one_form(f".{c}.", keep_runs=True)[1:-1]) for c in map(chr, [*range(0x80, 0xD800), *range(0xF900, 0x10000)])]
+    single = [(c, r) for c, r in chars if len(r) == 1 and r != c]
+    gone = "".join(c for c, r in chars if not r)
+    several = [(c, r) for c, r in chars if len(r) > 1 and (0xFB00 <= ord(c) <= 0xFB06 or 0x2160 <= ord(c) <= 0x217F)]
+    old, new = ("".join(pair[k] for pair in single).replace("'", "\'\'") for k in (0, 1))
+    sql = f"translate({value}, '{old}{gone}', '{new}')"
+    for c, r in several:
+        sql = f"replace({sql}, '{c}', '{r}')"
+    return f"nfc_normalize(trim({sql}))"
+
+
 ORACLES: dict[str, str] = {
+    "p4_found": f"""
+        WITH named AS (
+            SELECT bios_id AS id, unnest(list_append(coalesce(terms, []), preferred_term)) AS value FROM bios_subset WHERE bios_id IS NOT NULL
+        ), kept AS (
+            SELECT DISTINCT id, value, true AS concept FROM named WHERE trim(value) <> ''
+            UNION
+            SELECT DISTINCT match_id, mention, false FROM zingg_matches WHERE match_id IS NOT NULL AND trim(mention) <> ''
+        ), looks AS MATERIALIZED (SELECT id, value, concept, {_look_sql("value")} AS look FROM kept)
+        SELECT least(a.id, b.id) AS id_1, greatest(a.id, b.id) AS id_2
+        FROM looks a JOIN looks b ON a.look = b.look AND b.concept AND (NOT a.concept OR a.id < b.id)
+        WHERE a.look <> '' AND a.id <> b.id
+        GROUP BY 1, 2 HAVING NOT bool_or(a.value = b.value)
+    """,
     "p3_found": """
         SELECT DISTINCT n.node_id FROM tree_nodes n
         JOIN (SELECT node_kind, min(max_chars) AS max_chars FROM chunk_limits WHERE max_chars > 0 GROUP BY 1) l
