@@ -103,7 +103,7 @@ def list_terms(concepts: DataFrame, id_col: str, scalars: list[str], arrays: lis
     """(bios_id, term, rank, words, numbers): every term of the list, salts and the like taken off.
 
     A word is a modifier if some concept has a term with and the same term without it, neither with a number.
-    The modifiers are words of the reference list and few; the plan holds them as a literal. A numbered name also counts
+    The modifiers, one row, are words of the reference list and few. A numbered name also counts
     by its first word and number alone, where no other concept shares these. rank: 0 an ordinary term, 1 one that
     isn't written in ordinary characters, 2 a short form made here.
     """
@@ -122,8 +122,7 @@ def list_terms(concepts: DataFrame, id_col: str, scalars: list[str], arrays: lis
     pairs = a.join(b, (F.col("a.bios_id") == F.col("b.bios_id")) & (F.col("a.numbers") == "") & (F.col("b.numbers") == "") & (F.size("a.words") == F.size("b.words") + 1))
     extra = F.array_except("a.words", "b.words")
     modifiers = pairs.where((F.size(extra) == 1) & (F.size(F.array_except("b.words", "a.words")) == 0)).select(extra[0].alias("word")).distinct()
-    mods = sorted(r.word for r in modifiers.collect())
-    base = flat.withColumn("mods", F.array(*map(F.lit, mods)).cast("array<string>"))
+    base = flat.join(F.broadcast(modifiers.agg(F.array_sort(F.collect_set("word")).alias("mods"))))
     base = base.withColumn("short", F.filter("words", lambda w: ~F.array_contains("mods", w)))
     base = base.withColumn("words", F.when(F.size("short") > 0, F.col("short")).otherwise(F.col("words"))).drop("short")
     numbered = base.where((F.col("numbers") != "") & (F.size("words") > 1)).select("bios_id", "term", F.array(F.col("words")[0]).alias("words"), "numbers", F.lit(2).alias("rank"), "mods")
@@ -155,8 +154,11 @@ def _edits(a: str, b: str, most: int) -> int:
     return last[-1]
 
 
+MOST_EDITS = 3
+
+
 def _limit(n: int) -> int:
-    return 0 if n <= 4 else 1 if n <= 7 else 2 if n <= 16 else 3
+    return 0 if n <= 4 else 1 if n <= 7 else 2 if n <= 16 else MOST_EDITS
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -216,14 +218,13 @@ def _ordered(df: DataFrame, rarity: DataFrame, key: list[str]) -> DataFrame:
 def map_values(values: DataFrame, terms: DataFrame) -> DataFrame:
     """(key, bios_id, edits, jaccard) of the distinct values (key, words, numbers) that name a term; the best one.
 
-    Order of the candidates: fewest edits, ordinary before odd writing, highest Jaccard, smallest id.
+    Order of the candidates: highest Jaccard, fewest edits, ordinary before odd writing, smallest id.
     """
     none = F.array().cast("array<string>")
-    first = terms.select("mods").first()
-    mods = F.array(*map(F.lit, first.mods if first else [])).cast("array<string>")
     words = terms.select(F.explode("words").alias("word")).distinct()
     listed = values.select("key", F.explode("words").alias("word")).join(words, "word", "left_semi").groupBy("key").agg(F.collect_set("word").alias("known"))
-    v = values.join(listed, "key", "left").withColumn("mods", mods).withColumn("known", F.coalesce("known", none))
+    mods = terms.agg(F.coalesce(F.first("mods", ignorenulls=True), none).alias("mods"))
+    v = values.join(listed, "key", "left").join(F.broadcast(mods)).withColumn("known", F.coalesce("known", none))
     v = v.withColumn("words", _without_modifiers("words", "mods", "known")).select("key", "words", "numbers", "known", trigrams(F.col("words")).alias("grams"))
     t = terms.groupBy("words", "numbers").agg(F.min(F.struct("rank", "bios_id")).alias("r")).select("words", "numbers", "r.rank", "r.bios_id", trigrams(F.col("words")).alias("grams"))
     v, t = cut_lineage(v), cut_lineage(t.withColumn("tid", F.xxhash64("words", "numbers")))
@@ -246,8 +247,13 @@ def map_values(values: DataFrame, terms: DataFrame) -> DataFrame:
     )
     a, b = F.size("grams"), F.size("tgrams")
     exact = full.where(F.col("both") >= F.greatest(F.greatest(a, b) - allowed(F.least(a, b)) * SPOILED, F.lit(1))).withColumn("jaccard", F.col("both") / F.size(F.array_union("grams", "tgrams")))
-    checked = exact.withColumn("edits", _distance("words", "twords", "known")).where(F.col("edits") >= 0)
-    best = checked.groupBy("key").agg(F.min(F.struct("edits", "rank", (-F.col("jaccard")).alias("j"), "bios_id")).alias("b"))
+    # What the alignment of words rejects anyway, told from the words left on both sides before any row goes to Python.
+    left, right = F.array_except("words", "twords"), F.array_except("twords", "words")
+    once = (F.size(F.array_distinct("words")) == F.size("words")) & (F.size(F.array_distinct("twords")) == F.size("twords"))
+    length = F.abs(F.length(F.array_join(left, "")) - F.length(F.array_join(right, "")))
+    likely = (F.size(F.array_intersect(left, F.col("known"))) == 0) & (~once | (length <= MOST_EDITS + F.greatest(F.size(left) - 1, F.lit(0))))
+    checked = exact.where(likely).withColumn("edits", _distance("words", "twords", "known")).where(F.col("edits") >= 0)
+    best = checked.groupBy("key").agg(F.min(F.struct((-F.round("jaccard", 6)).alias("j"), "edits", "rank", "bios_id")).alias("b"))
     return best.select("key", "b.bios_id", "b.edits", (-F.col("b.j")).alias("jaccard"))
 
 
