@@ -71,11 +71,12 @@ def on_cycle(edges: DataFrame, levels: int | None = None) -> DataFrame:
     return back.select(F.col("root").alias("node")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, component): the smallest node of each connected component of (a, b).
 
     Alternates large-star and small-star steps, which need a logarithmic number of rounds even on long chains, and
-    pre-aggregates the minimum, so that a node with very many links is no hot group. The state is checkpointed.
+    pre-aggregates the minimum, so that a node with very many links is no hot group. The state is checkpointed. Goes on until nothing changes and raises if
+    ``rounds`` weren't enough, which a chain of 2 ** rounds nodes would take.
     """
     links = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
@@ -91,6 +92,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if new.exceptAll(g).isEmpty() and g.exceptAll(new).isEmpty():
             break
         g = new
+    else:
+        raise RuntimeError(f"components not found within {rounds} rounds")
     lead = g.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     return nodes.join(lead, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mossbrook import schema as S
 from mossbrook.functions import text as X
+from mossbrook.session import cut_lineage
 
 
 def dictionary(concepts: DataFrame) -> DataFrame:
@@ -34,23 +35,31 @@ def match_variants(mentions: DataFrame, words: DataFrame) -> DataFrame:
     return hits.withColumn("score", F.round(F.col("score") * S.RULE_FACTOR, 6))
 
 
+def _heavy(weights: DataFrame, key: str, floor: float) -> DataFrame:
+    """Of (key, gram, w) vectors of length 1, the rarest grams without which the rest is shorter than ``floor``."""
+    rest = Window.partitionBy(key).orderBy("rarity", "gram").rowsBetween(Window.unboundedPreceding, 0)
+    return weights.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(rest)).where(F.col("rest") >= floor * floor - 1e-9).select(key, "gram")
+
+
 def gram_similarity(left: DataFrame, right: DataFrame, floor: float = S.NGRAM_FLOOR, k: int = 1) -> DataFrame:
     """TF-IDF cosine over padded trigrams, (mention, alias, score) of the k best at or over the floor.
 
-    Joined on grams, never all pairs: weight c*ln(1 + N/(1 + df)), df over the distinct aliases of the right side.
+    Weight c*ln(1 + N/(1 + df)), df over the distinct aliases of the right side. With grams in one order, rarest first, two vectors at
+    the floor or over it share a gram among the rarest of both: what comes after in either is shorter than the floor. Only these
+    rare grams are joined, so a gram that most names hold forms no pairs, and nothing is lost; the pairs found are verified in full.
     """
     r = right.select("alias").distinct()
-    total = r.count()
+    total = r.agg(F.count(F.lit(1)).cast("double").alias("total"))
     rg = r.select("alias", F.explode(X.grams(F.col("alias"))).alias("gram")).groupBy("alias", "gram").agg(F.count(F.lit(1)).alias("c"))
-    idf = rg.groupBy("gram").agg(F.log(1 + F.lit(float(total)) / (1 + F.count(F.lit(1)))).alias("idf"))
-    rw = rg.join(idf, "gram").select("alias", "gram", (F.col("c") * F.col("idf")).alias("w"))
+    idf = rg.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(total)).select("gram", F.log(1 + F.col("total") / (1 + F.col("df"))).alias("idf"))
+    rw = rg.join(idf, "gram").select("alias", "gram", (F.col("c") * F.col("idf")).alias("w"), F.col("idf").alias("rarity"))
     lg = left.select("mention").distinct().select("mention", F.explode(X.grams(F.col("mention"))).alias("gram")).groupBy("mention", "gram").agg(F.count(F.lit(1)).alias("c"))
-    unseen = F.log(1 + F.lit(float(total)))
-    lw = lg.join(idf, "gram", "left").select("mention", "gram", (F.col("c") * F.coalesce("idf", unseen)).alias("w"))
-    rn = rw.groupBy("alias").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("rn"))
-    ln = lw.groupBy("mention").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("ln"))
-    dots = lw.join(rw.withColumnRenamed("w", "v"), "gram").groupBy("mention", "alias").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    s = dots.join(rn, "alias").join(ln, "mention").select("mention", "alias", F.round(F.col("dot") / (F.col("rn") * F.col("ln")), 6).alias("score")).where(F.col("score") >= floor)
+    known = F.coalesce("idf", F.log(1 + F.col("total")))
+    lw = lg.join(idf, "gram", "left").join(F.broadcast(total)).select("mention", "gram", (F.col("c") * known).alias("w"), known.alias("rarity"))
+    rw, lw = (cut_lineage(x.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key))))) for x, key in ((rw, "alias"), (lw, "mention")))
+    pairs = _heavy(lw, "mention", floor).join(_heavy(rw, "alias", floor), "gram").select("mention", "alias").distinct()
+    dots = pairs.join(lw.select("mention", "gram", "w"), "mention").join(rw.select("alias", "gram", F.col("w").alias("v")), ["alias", "gram"])
+    s = dots.groupBy("mention", "alias").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("score")).where(F.col("score") >= floor)
     w = Window.partitionBy("mention").orderBy(F.col("score").desc(), "alias")
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("mention", "alias", "score")
 

@@ -9,22 +9,53 @@ from pyspark.sql import functions as F
 
 from mossbrook import schema as S
 from mossbrook.functions import text as X
+from mossbrook.session import cut_lineage
 
+#: Words of a query that set the floor of its k best.
+RAREST = 4
 
-def bm25(queries: DataFrame, docs: DataFrame, key: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(qid, key, score). A document's length rides along with its words; words that no query has are dropped before
-    anything is shuffled, so only the postings of the query terms move. Documents without words don't count."""
-    q = queries.select("qid", F.explode(F.array_distinct(X.words(F.col("query")))).alias("term"))
+
+def postings(docs: DataFrame, key: str, text: str, terms: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, term, w): the BM25 weight of each word of each document; only of ``terms``, if given, and then words that nobody asks for are
+    dropped before anything is shuffled. Documents without words don't count. What this returns can be kept as an index table."""
     sized = docs.select(key, X.words(F.col(text)).alias("ws")).where(F.size("ws") > 0)
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ws")).alias("mean")).first()
-    n, mean = float(stats["n"] or 0), float(stats["mean"] or 1.0)
-    tokens = sized.select(key, F.size("ws").alias("length"), F.explode("ws").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
+    stats = sized.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("ws")).alias("mean"))
+    tokens = sized.select(key, F.size("ws").alias("length"), F.explode("ws").alias("term"))
+    if terms is not None:
+        tokens = tokens.join(terms, "term", "left_semi")
     hit = tokens.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    w = hit.join(df, "term")
-    w = w.withColumn("w", idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean))))
-    return q.join(w, "term").groupBy("qid", key).agg(F.round(F.sum("w"), 6).alias("score"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    w = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    return hit.join(df, "term").join(F.broadcast(stats)).select(key, "term", "df", w.alias("w"))
+
+
+def bm25(queries: DataFrame, docs: DataFrame, key: str, text: str, k: int, only: DataFrame | None = None) -> DataFrame:
+    """(qid, key, score): the k best documents of each query, ties by key; of the documents ``only``, if given, while
+    words are counted over all.
+
+    Exact, but a word that most documents hold forms no pairs. First each query is scored by its rarest words: the k-th of these partial
+    scores is a floor, as no weight is negative. Words whose greatest weights add up to less than the floor can't lift a document over
+    it by themselves, so only documents with another word of the query are candidates, and only these are scored in full.
+    """
+    q = queries.select("qid", F.explode(F.array_distinct(X.words(F.col("query")))).alias("term"))
+    index = cut_lineage(postings(docs, key, text, q.select("term").distinct()))
+    if only is not None:
+        index = index.join(only.select(key).distinct(), key, "left_semi")
+    most = index.groupBy("term").agg(F.max("w").alias("most"), F.count(F.lit(1)).alias("held"))
+    asked = cut_lineage(q.join(most, "term"))
+    by_weight = Window.partitionBy("qid").orderBy(F.col("most").desc(), "term")
+    rarest = asked.withColumn("i", F.row_number().over(by_weight)).where(F.col("i") <= RAREST)
+    partial = rarest.select("qid", "term").join(index, "term").groupBy("qid", key).agg(F.sum("w").alias("s"))
+    at = Window.partitionBy("qid").orderBy(F.col("s").desc())
+    floor = partial.withColumn("i", F.row_number().over(at)).where(F.col("i") == k).select("qid", F.col("s").alias("floor"))
+    light = Window.partitionBy("qid").orderBy("most", F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    needed = asked.withColumn("mass", F.sum("most").over(light)).join(floor, "qid", "left").where(F.col("floor").isNull() | (F.col("mass") >= F.col("floor") - 1e-6))
+    candidates = needed.select("qid", "term").join(index.select(key, "term"), "term").select("qid", key).distinct()
+    words = asked.select("qid", "term")
+    full = candidates.join(words, "qid").join(index, [key, "term"]).groupBy("qid", key).agg(F.round(F.sum("w"), 6).alias("score"))
+    ranked = full.withColumn("r", F.rank().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), key)))
+    return ranked.where(F.col("r") <= k).drop("r")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -46,9 +77,10 @@ def dense(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int)
 def concept_channel(query_concepts: DataFrame, doc_concepts: DataFrame, key: str) -> DataFrame:
     """(qid, key, score): cosine of concept sets weighted by idf, never under 0.1. Inputs (qid, concept), (key, concept)."""
     d = doc_concepts.select(key, "concept").distinct()
-    total = d.select(key).distinct().count()
+    total = d.agg(F.count_distinct(key).cast("double").alias("total"))
     df = d.groupBy("concept").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.greatest(F.log(F.lit(float(total)) / F.col("df")), F.lit(S.IDF_FLOOR))
+    idf = F.greatest(F.log(F.col("total") / F.col("df")), F.lit(S.IDF_FLOOR))
+    df = df.join(F.broadcast(total))
     w = d.join(df, "concept").select(key, "concept", idf.alias("w"))
     norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
     q = query_concepts.select("qid", "concept").distinct().join(df, "concept", "left").select("qid", "concept", F.coalesce(idf, F.lit(S.IDF_FLOOR)).alias("qw"))

@@ -95,19 +95,17 @@ def restore_siblings(spark, d):
 
 
 SECTIONS = f"""sec AS (SELECT document_id, CAST(sort_order AS BIGINT) AS ordinal, CASE node_kind WHEN 'document' THEN 1 WHEN 'section' THEN 2 ELSE 4 END AS level, page AS start_page FROM n
-      WHERE node_kind IN ('document', 'section', 'subsection') AND page IS NOT NULL AND document_id NOT LIKE 'DOC:DOSSIER%' AND sort_order IS NOT NULL)"""
+      WHERE node_kind IN ('document', 'section', 'subsection') AND page IS NOT NULL AND sort_order IS NOT NULL)"""
 
 
-def _sections(spark, d, whole=False):
+def _sections(spark, d):
     n = C.nodes(table(spark, d, "tree_nodes"))
     level = F.when(F.col("node_kind") == "document", 1).when(F.col("node_kind") == "section", 2).otherwise(4)
-    s = n.where(F.col("node_kind").isin("document", "section", "subsection") & F.col("page").isNotNull() & ~F.col("document_id").like("DOC:DOSSIER%") & F.col("sort_order").isNotNull())
-    if whole:
-        s = n.where(F.col("node_kind").isin("document", "section", "subsection") & F.col("page").isNotNull() & F.col("sort_order").isNotNull())
+    s = n.where(F.col("node_kind").isin("document", "section", "subsection") & F.col("page").isNotNull() & F.col("sort_order").isNotNull())
     return n, s.select("document_id", F.col("sort_order").cast("bigint").alias("ordinal"), level.alias("level"), F.col("page").alias("start_page"))
 
 
-RANGES = f"""{SECTIONS}, nxt AS (SELECT a.*, (SELECT b.start_page FROM sec b WHERE b.document_id = a.document_id AND b.ordinal > a.ordinal AND b.level <= a.level ORDER BY b.ordinal LIMIT 1) AS np,
+RANGES = f"""{SECTIONS}, nxt AS (SELECT a.*, (SELECT b.start_page FROM sec b WHERE b.document_id = a.document_id AND b.ordinal > a.ordinal AND b.level <= a.level ORDER BY b.ordinal, b.start_page LIMIT 1) AS np,
       (SELECT max(start_page) FROM sec c WHERE c.document_id = a.document_id) AS pages FROM sec a),
     rng AS (SELECT document_id, ordinal, level, start_page, CASE WHEN np IS NULL THEN greatest(1, pages) ELSE greatest(start_page, np - 1) END AS end_page FROM nxt)"""
 
@@ -117,25 +115,26 @@ def section_ranges(spark, d):
     return C.section_ranges(_sections(spark, d)[1])
 
 
-@book.query(f"""WITH {NODES}, {RANGES}, b AS (SELECT document_id, node_id AS block_id, page FROM n WHERE node_kind = 'table' AND page IS NOT NULL AND document_id NOT LIKE 'DOC:DOSSIER%'),
+@book.query(f"""WITH {NODES}, {RANGES}, b AS (SELECT document_id, node_id AS block_id, page FROM n WHERE node_kind = 'table' AND page IS NOT NULL),
     j AS (SELECT b.*, ordinal, level, row_number() OVER (PARTITION BY block_id ORDER BY level DESC NULLS LAST, start_page DESC, ordinal DESC) AS k FROM b LEFT JOIN rng r ON r.document_id = b.document_id AND b.page BETWEEN start_page AND end_page)
     SELECT document_id, block_id, page, ordinal, level FROM j WHERE k = 1""")
 def section_range_assign(spark, d):
     n, s = _sections(spark, d)
-    b = n.where("node_kind = 'table' and page is not null and document_id not like 'DOC:DOSSIER%'").select("document_id", F.col("node_id").alias("block_id"), "page")
+    b = n.where("node_kind = 'table' and page is not null").select("document_id", F.col("node_id").alias("block_id"), "page")
     return C.assign_deepest(b, C.section_ranges(s))
 
 
-@book.query(f"""WITH {NODES}, {SECTIONS}, b AS (SELECT document_id, node_id AS row_id, page FROM n WHERE node_kind IN ('table', 'figure') AND page IS NOT NULL AND document_id NOT LIKE 'DOC:DOSSIER%'),
+@book.query(f"""WITH {NODES}, {SECTIONS}, b AS (SELECT document_id, node_id AS row_id, page FROM n WHERE node_kind IN ('table', 'figure') AND page IS NOT NULL),
     r AS (SELECT document_id, start_page AS page, max(ordinal) AS ordinal FROM sec GROUP BY 1, 2)
     SELECT b.row_id, b.document_id, b.page, r.ordinal FROM b ASOF LEFT JOIN r ON b.document_id = r.document_id AND b.page >= r.page""")
 def asof_section(spark, d):
     n, s = _sections(spark, d)
-    b = n.where("node_kind in ('table', 'figure') and page is not null and document_id not like 'DOC:DOSSIER%'").select("document_id", F.col("node_id").alias("row_id"), "page")
+    b = n.where("node_kind in ('table', 'figure') and page is not null").select("document_id", F.col("node_id").alias("row_id"), "page")
     return C.as_of(b, s.select("document_id", F.col("start_page").alias("page"), "ordinal"), "document_id", "page", "ordinal")
 
 
-@book.query()
+@book.query(f"""WITH {NODES}, {SECTIONS}, s AS (SELECT document_id, ordinal, level, row_number() OVER (PARTITION BY document_id ORDER BY ordinal, level) - 1 AS i FROM sec)
+    SELECT document_id, ordinal, CAST(i + least(1, min(level - i) OVER (PARTITION BY document_id ORDER BY i)) AS INTEGER) AS level FROM s""")
 def heading_levels_repaired(spark, d):
     return C.repaired_levels(_sections(spark, d)[1])
 
@@ -145,36 +144,6 @@ def heading_parents(spark, d):
     return C.parent_by_level(_sections(spark, d)[1])
 
 
-# The same five over all documents, the dossier included, which the SQL above leaves out.
-@book.query()
-def section_ranges_whole(spark, d):
-    return C.section_ranges(_sections(spark, d, True)[1])
-
-
-@book.query()
-def section_range_assign_whole(spark, d):
-    n, s = _sections(spark, d, True)
-    b = n.where("node_kind = 'table' and page is not null").select("document_id", F.col("node_id").alias("block_id"), "page")
-    return C.assign_deepest(b, C.section_ranges(s))
-
-
-@book.query()
-def asof_section_whole(spark, d):
-    n, s = _sections(spark, d, True)
-    b = n.where("node_kind in ('table', 'figure') and page is not null").select("document_id", F.col("node_id").alias("row_id"), "page")
-    return C.as_of(b, s.select("document_id", F.col("start_page").alias("page"), "ordinal"), "document_id", "page", "ordinal")
-
-
-@book.query()
-def heading_levels_repaired_whole(spark, d):
-    return C.repaired_levels(_sections(spark, d, True)[1])
-
-
-@book.query()
-def heading_parents_whole(spark, d):
-    return C.parent_by_level(_sections(spark, d, True)[1])
-
-
 @book.query(f"""WITH {NODES}, c AS (SELECT document_id, page, content AS title, 'layout' AS source, 0.72 AS confidence FROM n WHERE node_kind IN ('section', 'subsection') AND content IS NOT NULL
       UNION ALL SELECT document_id, page, list_last(string_split({U}, ' / ')), 'path', 0.62 FROM n WHERE node_kind IN ('section', 'subsection', 'paragraph') AND section_path IS NOT NULL),
     g AS (SELECT document_id, page, lower(trim(title)) AS key, max(confidence) AS c, arg_max(title, confidence * 10 + 0) AS t0, max(CASE WHEN confidence = 0.72 THEN title END) AS t1, max(title) AS t2, count(DISTINCT source) AS sources FROM c GROUP BY 1, 2, 3)
@@ -221,15 +190,9 @@ def value_conflicts(spark, d):
     return K.value_conflicts(table(spark, d, "lineitem"), ["l_partkey", "l_suppkey"], "l_discount")
 
 
-@book.query("""WITH v AS (SELECT l_partkey, l_extendedprice AS v FROM lineitem WHERE l_quantity > 40), g AS (SELECT l_partkey, count(*) AS n, min(v) AS low, max(v) AS high FROM v GROUP BY 1)
+@book.query("""WITH v AS (SELECT l_partkey, l_extendedprice AS v FROM lineitem), g AS (SELECT l_partkey, count(*) AS n, min(v) AS low, max(v) AS high FROM v GROUP BY 1)
     SELECT l_partkey, n, low, high, round(abs(high - low) / abs(high), 6) AS relative_spread FROM g WHERE n >= 2 AND high <> 0 AND abs(high - low) / abs(high) >= 0.1""")
 def multi_source_conflict(spark, d):
-    return K.spread_conflicts(table(spark, d, "lineitem").where("l_quantity > 40"), ["l_partkey"], F.col("l_extendedprice"))
-
-
-# The same over all quantities.
-@book.query()
-def multi_source_conflict_whole(spark, d):
     return K.spread_conflicts(table(spark, d, "lineitem"), ["l_partkey"], F.col("l_extendedprice"))
 
 

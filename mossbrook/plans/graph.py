@@ -36,14 +36,13 @@ def tree_depths(spark, d):
     return below.groupBy("root").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("depth"))
 
 
-EDGES = """ed AS (SELECT DISTINCT 'P' || l_partkey AS src, 'has_target' AS predicate, 'S' || l_suppkey AS dst FROM lineitem WHERE l_quantity >= 49
+EDGES = """ed AS (SELECT DISTINCT 'P' || l_partkey AS src, 'has_target' AS predicate, 'S' || l_suppkey AS dst FROM lineitem
       UNION SELECT DISTINCT 'S' || s_suppkey, 'broader', 'N' || s_nationkey FROM supplier UNION SELECT DISTINCT 'N' || n_nationkey, 'broader', 'R' || n_regionkey FROM nation
-      UNION SELECT DISTINCT 'S' || l_suppkey, 'targeted_by', 'P' || l_partkey FROM lineitem WHERE l_quantity >= 49)"""
+      UNION SELECT DISTINCT 'S' || l_suppkey, 'targeted_by', 'P' || l_partkey FROM lineitem)"""
 
 
-def _edges(spark, d, whole=False):
+def _edges(spark, d):
     li = table(spark, d, "lineitem")
-    li = li if whole else li.where("l_quantity >= 49")
     n, s = table(spark, d, "nation"), table(spark, d, "supplier")
     P, Q = F.concat(F.lit("P"), "l_partkey"), F.concat(F.lit("S"), "l_suppkey")
     parts = [
@@ -67,17 +66,6 @@ def khop_weighted(spark, d):
     return _khop(_edges(spark, d))
 
 
-# The same two over all of lineitem, of which the SQL takes two quantities of fifty.
-@book.query()
-def khop_weighted_whole(spark, d):
-    return _khop(_edges(spark, d, True))
-
-
-@book.query()
-def adjacency_whole(spark, d):
-    return _adjacency(_edges(spark, d, True))
-
-
 def _khop(e):
     return G.walk(e.where("src like 'S%'").select(F.col("src").alias("seed")), e)
 
@@ -111,7 +99,7 @@ def clique_primary(spark, d):
 
 
 @book.query("""WITH RECURSIVE e AS (SELECT DISTINCT concept_id AS p, unnest(consider) AS c FROM concept_ids UNION SELECT DISTINCT replaced_by, concept_id FROM concept_ids WHERE replaced_by IS NOT NULL UNION SELECT DISTINCT concept_id, replaced_by FROM concept_ids WHERE replaced_by IS NOT NULL),
-    w AS (SELECT p AS root, c AS node, 1 AS k FROM e UNION SELECT root, c, k + 1 FROM w JOIN e ON p = node WHERE k < 7) SELECT DISTINCT root AS node FROM w WHERE root = node""")
+    w AS (SELECT p AS root, c AS node FROM e UNION SELECT root, c FROM w JOIN e ON p = node) SELECT DISTINCT root AS node FROM w WHERE root = node""")
 def hierarchy_cycles(spark, d):
     c = table(spark, d, "concept_ids")
     r = c.where(F.col("replaced_by").isNotNull())

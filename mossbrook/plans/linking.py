@@ -58,7 +58,7 @@ def ambiguity_margin(spark, d):
 _G = """{0}g AS (SELECT v, gram, count(*) AS c FROM (SELECT v, unnest(list_transform(range(1, length(v) + 3), lambda i: substr('  ' || v || '  ', i, 3))) AS gram FROM {0}) GROUP BY 1, 2)"""
 
 
-@book.query(f"""WITH l AS (SELECT DISTINCT p_name AS v FROM part), r AS (SELECT DISTINCT preferred_term AS v FROM bios_subset WHERE preferred_term IS NOT NULL UNION SELECT DISTINCT p_name FROM part WHERE p_partkey % 2 = 0),
+@book.query(f"""WITH l AS (SELECT DISTINCT p_name AS v FROM part), r AS (SELECT DISTINCT preferred_term AS v FROM bios_subset WHERE preferred_term IS NOT NULL UNION SELECT DISTINCT p_name FROM part),
     {_G.format('l')}, {_G.format('r')}, idf AS (SELECT gram, ln(1 + (SELECT count(*) FROM r) / (1 + count(*))) AS idf FROM rg GROUP BY 1),
     rw AS (SELECT v, rg.gram, c * idf AS w FROM rg JOIN idf USING (gram)), lw AS (SELECT v, lg.gram, c * coalesce(idf, ln(1 + (SELECT count(*) FROM r))) AS w FROM lg LEFT JOIN idf USING (gram)),
     rn AS (SELECT v, sqrt(sum(w * w)) AS n FROM rw GROUP BY 1), ln_ AS (SELECT v, sqrt(sum(w * w)) AS n FROM lw GROUP BY 1),
@@ -66,13 +66,6 @@ _G = """{0}g AS (SELECT v, gram, count(*) AS c FROM (SELECT v, unnest(list_trans
     k AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, alias) AS rank FROM s WHERE score >= 0.6)
     SELECT mention, alias, score FROM k WHERE rank = 1""")
 def ngram_similarity_top1(spark, d):
-    parts = table(spark, d, "part")
-    return _similar(spark, d, parts, parts.where("p_partkey % 2 = 0"))
-
-
-# The same with all part names in the dictionary, of which the SQL takes half.
-@book.query()
-def ngram_similarity_top1_whole(spark, d):
     parts = table(spark, d, "part")
     return _similar(spark, d, parts, parts)
 

@@ -11,7 +11,7 @@ from mossbrook.plans.base import Book, table
 book = Book()
 RANK = "CASE license_tier WHEN 'TIER_0' THEN 0 WHEN 'TIER_1' THEN 1 WHEN 'TIER_2' THEN 2 ELSE 3 END"
 ENTITLED = ("patent_full",)
-QUERIES = "qs AS (SELECT item_id AS qid, list_last(string_split(text, chr(10))) AS query FROM eval_items WHERE suite = 'trialqa')"
+QUERIES = "qs AS (SELECT item_id AS qid, list_last(string_split(text, chr(10))) AS query FROM eval_items)"
 WORDS = "regexp_extract_all(lower({0}), '\\p{{L}}+')"
 BM25 = f"""{QUERIES}, qt AS (SELECT DISTINCT qid, unnest({WORDS.format('query')}) AS term FROM qs),
     p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents) GROUP BY 1, 2), len AS (SELECT doc_id, sum(tf) AS length FROM p GROUP BY 1),
@@ -22,25 +22,17 @@ DENSE = """dq AS (SELECT vec_id AS qid, list_transform(embedding, lambda x: x::D
     de AS (SELECT qid, vec_id, round(list_cosine_similarity(v, list_transform(embedding, lambda x: x::DOUBLE)), 6) AS score FROM embeddings, dq)"""
 
 
-def _queries(spark, d, whole=False):
-    q = table(spark, d, "eval_items")
-    q = q if whole else q.where("suite = 'trialqa'")
-    return q.select(F.col("item_id").alias("qid"), F.element_at(F.split("text", "\n"), -1).alias("query"))
+def _queries(spark, d):
+    return table(spark, d, "eval_items").select(F.col("item_id").alias("qid"), F.element_at(F.split("text", "\n"), -1).alias("query"))
 
 
-def _lexical(spark, d, whole=False):
-    return R.bm25(_queries(spark, d, whole), table(spark, d, "documents"), "doc_id", "text")
+def _lexical(spark, d, k, docs=None):
+    return R.bm25(_queries(spark, d), table(spark, d, "documents"), "doc_id", "text", k, docs)
 
 
 @book.query(f"WITH {BM25}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM bm) SELECT qid, doc_id AS key, score, rank FROM r WHERE rank <= 10")
 def bm25_channel(spark, d):
-    return R.channel(_lexical(spark, d), "lexical", "doc_id").where("rank <= 10").select("qid", "key", "score", "rank")
-
-
-# The same for the items of all suites, of which the SQL takes one.
-@book.query()
-def bm25_channel_whole(spark, d):
-    return R.channel(_lexical(spark, d, True), "lexical", "doc_id").where("rank <= 10").select("qid", "key", "score", "rank")
+    return R.channel(_lexical(spark, d, 10), "lexical", "doc_id").select("qid", "key", "score", "rank")
 
 
 @book.query(f"WITH {DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM de) SELECT qid, vec_id, score FROM r WHERE rank <= 10")
@@ -63,20 +55,24 @@ def _concepts(spark, d):
     return R.concept_channel(qc, dc, "k")
 
 
-@book.query(f"WITH {CONCEPTS} SELECT qid, count(*) AS hits, max(score) AS best, round(sum(score), 3) AS mass FROM cc GROUP BY qid")
+@book.query(f"WITH {CONCEPTS} SELECT qid, k, score FROM cc")
 def concept_idf_channel(spark, d):
-    return _concepts(spark, d).groupBy("qid").agg(F.count(F.lit(1)).alias("hits"), F.max("score").alias("best"), F.round(F.sum("score"), 3).alias("mass"))
+    return _concepts(spark, d)
 
 
 FUSE = f"""{BM25}, {DENSE.replace('dq AS', 'dq AS').replace('SELECT vec_id AS qid', 'SELECT (SELECT min(item_id) FROM eval_items) + 3 * (vec_id / 50)::BIGINT AS qid')},
     c1 AS (SELECT qid, doc_id AS k, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM bm), c2 AS (SELECT qid, vec_id AS k, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM de)"""
 
 
+def _vector_queries(spark, d):
+    first = table(spark, d, "eval_items").agg(F.min("item_id").alias("m"))
+    q = table(spark, d, "embeddings").where("vec_id % 50 = 0").join(F.broadcast(first))
+    return q.select((F.col("m") + 3 * F.floor(F.col("vec_id") / 50)).cast("bigint").alias("qid"), F.col("embedding").alias("qvec"))
+
+
 def _channels(spark, d):
-    items = table(spark, d, "eval_items").agg(F.min("item_id").alias("m")).first()["m"]
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0").select((F.lit(items) + 3 * F.floor(F.col("vec_id") / 50)).cast("bigint").alias("qid"), F.col("embedding").alias("qvec"))
-    a = R.channel(_lexical(spark, d), "lexical", "doc_id").where("rank <= 30")
+    e, q = table(spark, d, "embeddings"), _vector_queries(spark, d)
+    a = R.channel(_lexical(spark, d, 30), "lexical", "doc_id")
     b = R.channel(R.dense(q, e, "vec_id", "embedding", 30), "dense", "vec_id")
     return a, b
 
@@ -92,24 +88,23 @@ def rrf_fusion(spark, d):
     return r.select("qid", "key", "fused", F.try_element_at("ranks", F.lit("lexical")).alias("lexical_rank"), F.try_element_at("ranks", F.lit("dense")).alias("dense_rank"), "rank")
 
 
-@book.query(f"""WITH {FUSE} SELECT qid, count(*) AS keys, round(sum(score), 3) AS mass FROM (SELECT qid, k, max(score) AS score FROM (SELECT qid, doc_id AS k, score FROM bm UNION ALL SELECT qid, vec_id, score FROM de) GROUP BY 1, 2) GROUP BY qid""")
+@book.query(f"""WITH {FUSE}, a AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM bm), b AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM de)
+    SELECT qid, key, max(score) AS score FROM (SELECT qid, doc_id AS key, score FROM a WHERE rank <= 50 UNION ALL SELECT qid, vec_id, score FROM b WHERE rank <= 50) GROUP BY 1, 2""")
 def max_merge(spark, d):
-    items = table(spark, d, "eval_items").agg(F.min("item_id").alias("m")).first()["m"]
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0").select((F.lit(items) + 3 * F.floor(F.col("vec_id") / 50)).cast("bigint").alias("qid"), F.col("embedding").alias("qvec"))
-    dense = e.join(q, F.lit(True)).select("qid", F.col("vec_id").alias("key"), F.round(R.cosine(F.col("qvec"), F.col("embedding")), 6).alias("score"))
-    m = R.max_merge([_lexical(spark, d).select("qid", F.col("doc_id").alias("key"), "score"), dense])
-    return m.groupBy("qid").agg(F.count(F.lit(1)).alias("keys"), F.round(F.sum("score"), 3).alias("mass"))
+    dense = R.dense(_vector_queries(spark, d), table(spark, d, "embeddings"), "vec_id", "embedding", 50)
+    return R.max_merge([_lexical(spark, d, 50).select("qid", F.col("doc_id").alias("key"), "score"), dense.select("qid", F.col("vec_id").alias("key"), "score")])
 
 
-@book.query(f"""WITH {BM25}, r AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM bm), h AS (SELECT qid, doc_id FROM r WHERE rank <= 20)
-    SELECT h.qid, h.doc_id, d.source, coalesce({RANK}, 3) AS license_rank, substr(d.title, 1, 300) AS snippet FROM h JOIN documents d USING (doc_id) WHERE {RANK} <= 2 AND ({RANK} <= 1 OR coalesce(d.source = 'patent_full', false)) AND coalesce(d.doc_type IN ('FULL_TEXT', 'JOURNAL_ARTICLE'), false)""")
+@book.query(f"""WITH {BM25}, ok AS (SELECT doc_id, source, coalesce({RANK}, 3) AS license_rank, substr(title, 1, 300) AS snippet FROM documents
+      WHERE {RANK} <= 2 AND ({RANK} <= 1 OR coalesce(source = 'patent_full', false)) AND coalesce(doc_type IN ('FULL_TEXT', 'JOURNAL_ARTICLE'), false)),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM bm JOIN ok USING (doc_id)) SELECT qid, doc_id, source, license_rank, snippet, rank FROM r WHERE rank <= 20""")
 def filtered_search(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", "license_tier", "doc_type", "title")
-    hits = R.channel(_lexical(spark, d), "lexical", "doc_id").where("rank <= 20").select("qid", F.col("key").alias("doc_id"))
+    docs = table(spark, d, "documents")
     rank = A.rank_of(F.col("license_tier"))
-    ok = R.allowed(rank, F.col("source"), 2, ENTITLED, modality=F.col("doc_type"), modalities=("FULL_TEXT", "JOURNAL_ARTICLE"))
-    return hits.join(docs, "doc_id").where(ok).select("qid", "doc_id", "source", rank.alias("license_rank"), R.snippet(F.col("title")).alias("snippet"))
+    ok = docs.where(R.allowed(rank, F.col("source"), 2, ENTITLED, modality=F.col("doc_type"), modalities=("FULL_TEXT", "JOURNAL_ARTICLE")))
+    hits = R.channel(_lexical(spark, d, 20, ok), "lexical", "doc_id").select("qid", F.col("key").alias("doc_id"), "rank")
+    stored = ok.select("doc_id", "source", rank.alias("license_rank"), R.snippet(F.col("title")).alias("snippet"))
+    return hits.join(stored, "doc_id").select("qid", "doc_id", "source", "license_rank", "snippet", "rank")
 
 
 @book.query("""WITH h AS (SELECT event_id, user_id * 37 AS doc_id FROM events), s AS (SELECT doc_id, arg_max(title, ingested_at) AS title FROM documents GROUP BY doc_id)
@@ -138,6 +133,6 @@ def query_rewrite(spark, d):
 @book.query(f"""WITH {BM25}, f AS (SELECT qid, doc_id AS k, score AS fused, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r0 FROM bm), s AS (SELECT doc_id AS k, CASE WHEN n_chars % 3 <> 0 THEN n_chars::DOUBLE END AS rerank FROM documents),
     j AS (SELECT qid, k AS key, CAST(row_number() OVER (PARTITION BY qid ORDER BY rerank DESC NULLS LAST, fused DESC, k) AS INTEGER) AS rank FROM f LEFT JOIN s USING (k) WHERE r0 <= 20) SELECT * FROM j""")
 def rerank_pool(spark, d):
-    f = R.channel(_lexical(spark, d), "lexical", "doc_id").where("rank <= 20").select("qid", "key", F.col("score").alias("fused"))
+    f = R.channel(_lexical(spark, d, 20), "lexical", "doc_id").select("qid", "key", F.col("score").alias("fused"))
     s = table(spark, d, "documents").where("n_chars % 3 <> 0").select(F.col("doc_id").alias("key"), F.col("n_chars").cast("double").alias("rerank"))
     return R.rerank(f, f.select("qid", "key").join(s, "key").select("qid", "key", "rerank")).select("qid", "key", "rank")
