@@ -176,3 +176,47 @@ def heading_level(line: Column) -> Column:
     """Depth of a numbered heading, at most 6; null for what is none."""
     number = F.regexp_extract(line, HEADING, 1)
     return F.when(line.rlike(HEADING) & (F.length(line) <= 80), F.least(F.lit(6), F.size(F.split(number, r"\."))))
+
+
+def bounded(texts: Column, start: Column, size: Column) -> Column:
+    """Whether the piece of ``size`` characters at ``start`` (from 1) is a whole stretch of Han characters between function characters,
+    the nearest to a word that text without blanks shows. The stretch is what is left of a run when ``FUNCTION`` splits it."""
+    piece = F.substring(texts, start, size)
+    before, after = F.substring(texts, start - 1, F.lit(1)), F.substring(texts, start + size, F.lit(1))
+    open_ = ~before.rlike(HAN) | before.rlike(FUNCTION) | (start <= 1)
+    shut = ~after.rlike(HAN) | after.rlike(FUNCTION)
+    return piece.rlike(f"^{HAN}+$") & ~piece.rlike(FUNCTION) & open_ & shut
+
+
+HAN = "[\u4e00-\u9fff]"
+# Han characters that join words and belong to none.
+FUNCTION = "[的了和与及在是对为被将从于中或者]"
+
+
+def qualifiers(header: Column, cells: Column, kept: list[str]) -> Column:
+    """What a table's row says about its numbers: "header=value" for the headers ``kept``, without blank values."""
+    pairs = F.zip_with(header, cells, lambda h, v: F.struct(h.alias("h"), F.trim(v).alias("v")))
+    good = F.filter(pairs, lambda p: p["h"].isin(*kept) & F.coalesce(p["v"] != "", F.lit(False)))
+    return F.transform(good, lambda p: F.concat(p["h"], F.lit("="), p["v"]))
+
+
+def surfaces(label: Column, others: Column, most: int = 8) -> Column:
+    """The label and other names of a concept as search terms: trimmed, distinct but for case, of two letters or more."""
+    every = F.transform(F.filter(F.concat(F.array(label), F.coalesce(others, F.array().cast("array<string>"))), lambda s: F.coalesce(F.length(F.trim(s)) >= 2, F.lit(False))), lambda s: F.trim(s))
+    first = F.filter(every, lambda s, i: F.array_position(F.transform(every, lambda x: F.lower(x)), F.lower(s)) == i + 1)
+    return F.slice(first, 1, most)
+
+
+def label_variants(label: Column) -> Column:
+    """Controlled variants of a label for training a linker: case, hyphens and blanks taken out, and a slightly wrong ending."""
+    base = F.trim(label)
+    plain = F.array(F.lower(base), F.upper(base), F.replace(base, F.lit("-"), F.lit("")), F.replace(base, F.lit(" "), F.lit("")), F.replace(base, F.lit("-"), F.lit(" ")))
+    last = F.substring(base, -1, 1)
+    noisy = F.when((F.length(base) >= 5) & base.rlike("^[ -~]+$"), F.array(F.concat(base, last), F.concat(F.substring(base, F.lit(1), F.length(base) - 1), F.lit("x")))).otherwise(F.array().cast("array<string>"))
+    return F.array_sort(F.filter(F.array_distinct(F.concat(plain, noisy)), lambda v: (v != "") & (mention_key(v) != mention_key(base))))
+
+
+def hours_since(at: Column, now: Column) -> Column:
+    """Hours between an ISO time and another, null if it isn't one; times in the future count 0."""
+    t = F.try_to_timestamp(at)
+    return F.when(t.isNotNull(), F.greatest(F.lit(0.0), F.round((F.unix_micros(now) - F.unix_micros(t)) / 3.6e9, 4)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mossbrook import schema as S
 from mossbrook.functions import text as X
+from mossbrook.session import cut_lineage
 
 OPEN = ("unmapped", "low_confidence")
 
@@ -83,31 +84,23 @@ def missed_clicks(clicks: DataFrame, returned: DataFrame) -> DataFrame:
     return clicks.join(returned.select("query", "key").distinct(), ["query", "key"], "left_anti").groupBy("query", "key").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
-def cooccurrence(rows: DataFrame, group: str, item: str, least: int, known: DataFrame, large: int = 1000) -> DataFrame:
+def cooccurrence(rows: DataFrame, group: str, item: str, least: int, known: DataFrame) -> DataFrame:
     """(a, b, groups): unordered pairs of items in ``least`` groups or more that aren't known edges (a, b).
 
-    Items in fewer groups are dropped first. Pairs are formed only within groups of up to ``large`` items; a pair that
-    counts must stand in at least ``least`` less the number of larger groups of those, and only for such pairs are the
-    larger groups asked whether they hold both ends. If there are ``least`` larger groups or more, they're paired too.
+    Items in fewer groups are dropped first. With the groups in one order, the smallest first, two items that share ``least`` groups
+    share one of the first n - least + 1 of either, so pairs are formed only there, and the largest groups, last in the order, form
+    pairs only of items that stand in hardly any other. The pairs found are then counted over all groups, so the result is exact.
     """
-    r = rows.select(group, item).where(F.col(group).isNotNull() & F.col(item).isNotNull()).distinct()
-    often = r.groupBy(item).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(item)
-    x = r.join(often, item, "left_semi")
-    hot = x.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large).select(group)
-    k = hot.count()
-    k = 0 if k >= least else k
-    small = x.join(hot, group, "left_anti") if k else x
-    pairs = small.select(group, F.col(item).alias("a")).join(small.select(group, F.col(item).alias("b")), group).where(F.col("a") < F.col("b"))
-    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") >= least - k)
-    if k:
-        big = x.join(hot, group, "left_semi")
-        more = (
-            counted.join(big.select(F.col(group).alias("g"), F.col(item).alias("a")), "a")
-            .join(big.select(F.col(group).alias("g"), F.col(item).alias("b")), ["g", "b"])
-            .groupBy("a", "b").agg(F.count(F.lit(1)).alias("more"))
-        )
-        counted = counted.join(more, ["a", "b"], "left").select("a", "b", (F.col("groups") + F.coalesce("more", F.lit(0))).alias("groups"))
-    return counted.where(F.col("groups") >= least).join(known.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    r = rows.select(F.col(group).alias("g"), F.col(item).alias("i")).where(F.col("g").isNotNull() & F.col("i").isNotNull()).distinct()
+    often = r.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    x = cut_lineage(r.join(often, "i"))
+    sizes = x.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    place = F.row_number().over(Window.partitionBy("i").orderBy("size", "g"))
+    first = x.join(sizes, "g").withColumn("place", place).where(F.col("place") <= F.col("n") - least + 1).select("g", "i")
+    pairs = first.withColumnRenamed("i", "a").join(first.withColumnRenamed("i", "b"), "g").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    pairs = pairs.join(known.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    shared = pairs.join(x.select(F.col("i").alias("a"), "g"), "a").join(x.select(F.col("i").alias("b"), "g"), ["b", "g"])
+    return shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") >= least)
 
 
 def negative_feedback(feedback: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ def candidate_filter(spark, d):
 
 @book.query(f"WITH {OBS} SELECT observation_id, mention_key, status, event_ts FROM o")
 def stream_dedupe(spark, d):
-    """The events written twice as files, streamed, deduplicated within the watermark and read back."""
+    """The events written twice as files, streamed in several batches, each written once however late, and read back."""
     import uuid
 
     from mossbrook.session import ensure_checkpoint_dir
@@ -133,8 +133,8 @@ def stream_dedupe(spark, d):
     e = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
     for k in range(2):
         e.write.parquet(f"{base}/in/part={k}")
-    s = O.source(spark, f"{base}/in/*", "event_id long, ts timestamp, user_id long, event_type string, value double", "parquet")
-    O.append(O.deduplicated(O.observations(s)), f"{base}/out", f"{base}/state").awaitTermination()
+    s = O.source(spark, f"{base}/in/*", "event_id long, ts timestamp, user_id long, event_type string, value double", "parquet", 1)
+    O.merged(O.observations(s), f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("observation_id", "mention_key", "status", "event_ts")
 
 

@@ -28,7 +28,8 @@ def observations(events: DataFrame) -> DataFrame:
 
 
 def deduplicated(stream: DataFrame, late: str = "1 day") -> DataFrame:
-    """Observations once each, however often they are delivered within the watermark; ``at`` is their event time."""
+    """Observations once each, however often they are delivered within the watermark; ``at`` is their event time. Rows later than the
+    watermark aren't in it: where none may be missing, ``merged`` writes instead."""
     timed = stream.withColumn("at", F.to_timestamp("event_ts"))
     return timed.withWatermark("at", late).dropDuplicatesWithinWatermark(["observation_id"])
 
@@ -56,6 +57,26 @@ def append(stream: DataFrame, path: str, checkpoint: str, available: bool = True
     return (w.trigger(availableNow=True) if available else w.trigger(processingTime="15 seconds")).start()
 
 
+def merged(stream: DataFrame, path: str, checkpoint: str, available: bool = True, key: str = "observation_id"):
+    """Starts an append that writes each observation once however late or often it comes: every micro-batch is held against the dates
+    of the lake that it touches. Without a watermark no row is too late, and no state grows; a batch that is run again after a failure
+    finds what it had written."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        new = S.conform(batch, S.TABLES["er_observations"]).dropDuplicates([key])
+        new = new.persist()
+        jvm = batch.sparkSession.sparkContext._jvm
+        here = jvm.org.apache.hadoop.fs.Path(path)
+        if here.getFileSystem(batch.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(here):
+            old = batch.sparkSession.read.schema(S.TABLES["er_observations"]).parquet(path)
+            old = old.join(new.select("event_date").distinct(), "event_date", "left_semi").select(key)
+            new = new.join(old, key, "left_anti").select(*new.columns)
+        new.write.mode("append").partitionBy("event_date").parquet(path)
+
+    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available else w.trigger(processingTime="15 seconds")).start()
+
+
 def projected(decisions: DataFrame, most: int = 8, chars: int = 256) -> DataFrame:
     """Decisions with at most ``most`` candidates, the best ones and always the chosen one, and texts cut to ``chars``."""
     ranked = F.array_sort(F.transform("candidates", lambda c: F.struct((-c["score"]).alias("s"), c["id"].alias("id"))))
