@@ -2,7 +2,8 @@
 
 A passage with at most one word in ten altered over ``MIN_WORDS`` words or more keeps at least ``MIN_SEEDS`` of its
 5-grams (each altered word spoils five), and at least ``NEAR_SEEDS`` of them within ``NEAR_WORDS`` words; both counts
-are exact consequences of the definition, so filtering by them loses nothing. Seeds are looked up in a bitmap of
+are exact consequences of the definition, so filtering by them loses nothing. Texts are joined to passages by rare seeds only: put the
+``MIN_SEEDS`` - 1 most frequent of a passage aside, and a leak still shares one of the others. Seeds are looked up in a bitmap of
 fixed size first, so what is broadcast doesn't grow with the items; the exact join on the seed's hash follows.
 """
 
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mossbrook.llm.lookalike import one_form
@@ -26,6 +27,7 @@ MAX_ALTERED = 0.1
 MIN_SEEDS = 11
 NEAR_SEEDS, NEAR_WORDS = 8, 36
 BITS = 23
+SALTS = 16
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _HAN = re.compile(r"([぀-ヿ㐀-鿿])")
 _MARKS = re.compile(r"[\W_]+")
@@ -201,15 +203,26 @@ def longest(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
             return best
 
 
+def regions(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of text b that may hold a leak of passage a: around its seeds, parted where two seeds are so far from each other
+    that no leak spans both. None if fewer than ``MIN_SEEDS`` places of the passage have their seed in the text."""
+    ga, gb = grams(a), grams(b)
+    if np.isin(ga, gb).sum() < MIN_SEEDS:
+        return []
+    at = np.flatnonzero(np.isin(gb, ga))
+    margin = 2 * len(a)
+    cut = np.flatnonzero(np.diff(at) > 2 * margin) + 1
+    return [(max(0, int(part[0]) - margin), int(part[-1]) + GRAM + margin) for part in np.split(at, cut) if len(part) >= NEAR_SEEDS]
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for r in pdf.itertuples(index=False):
-            margin = 2 * len(r.passage_words)
-            lo = max(0, r.first - margin)
-            a, b = _hashes(list(r.passage_words)), _hashes(list(r.words[lo : r.last + GRAM + margin]))
-            span, altered, at_a, at_b, score = longest(a, b)
-            rows.append((r.doc_id, r.passage, span, altered, at_a, at_b + lo, score))
+            a, b = _hashes(list(r.passage_words)), _hashes(list(r.words))
+            for lo, hi in regions(a, b):
+                span, altered, at_a, at_b, score = longest(a, b[lo:hi])
+                rows.append((r.doc_id, r.passage, span, altered, at_a, at_b + lo, score))
         yield pd.DataFrame(rows, columns=["doc_id", "passage", "span", "altered", "passage_at", "doc_at", "score"])
 
 
@@ -221,19 +234,18 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = cut_lineage(passages(items))
     seed = cut_lineage(seeds(found))
     held = cut_lineage(seeded_documents(docs, seed))
-    hits = held.withColumn("text_key", F.xxhash64("words")).select("doc_id", "text_key", F.explode("hits").alias("hit"))
-    pairs = (
-        hits.select("doc_id", "text_key", F.col("hit.gram").alias("gram"), F.col("hit.at").alias("at"))
-        .join(seed, "gram")
-        .groupBy("doc_id", "text_key", "passage")
-        .agg(F.size(F.collect_set("place")).alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
-        .where(F.col("n") >= MIN_SEEDS)
-    )
+    hits = held.select("doc_id", F.xxhash64("words").alias("text_key"), F.explode("hits.gram").alias("gram")).distinct()
+    # A leak has MIN_SEEDS places of its passage or more, so one at least is left when the MIN_SEEDS - 1 most frequent are put aside.
+    often = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("passage").orderBy(F.coalesce("n", F.lit(0)).desc(), "place"))
+    rare = seed.join(often, "gram", "left").withColumn("order", place).where(F.col("order") >= MIN_SEEDS).select("passage", "gram").distinct()
+    spread = rare.select("*", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    pairs = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).cast("int")).join(spread, ["gram", "salt"]).select("doc_id", "text_key", "passage").distinct()
     texts = held.select("doc_id", F.xxhash64("words").alias("text_key"), "words").dropDuplicates(["doc_id", "text_key"])
     checked = (
         pairs.join(texts, ["doc_id", "text_key"])
         .join(found.select("passage", F.col("words").alias("passage_words")), "passage")
-        .select("doc_id", "passage", "first", "last", "words", "passage_words")
+        .select("doc_id", "passage", "words", "passage_words")
         .mapInPandas(_verify, "doc_id long, passage long, span int, altered int, passage_at int, doc_at int, score int")
         .where(F.col("span") >= MIN_WORDS)
     )
