@@ -42,6 +42,7 @@ EDGE_LINES = 2
 BROKEN = rf"(?<!\S)\S+[{MARKS}] ?\n\s*\S+"
 _BREAK = re.compile(BROKEN)
 _PARTS = re.compile(rf"(?<!\S)(\S+)([{MARKS}]) ?\n\s*(\S+)")
+_HAN = re.compile(r"[\u3400-\u9fff]+")
 _INNER = re.compile(r"[!†]?[^\W_](?:[\w!†]*[^\W_])?[!†]?")
 NUMBER = re.compile(r"(?=[\dlOSB.,/]*\d)(?=[\dlOSB.,/]*[lOSB])[\dlO][\dlOSB]*(?:[.,/][\dlOSB]+)*")
 #: A shape of header stands in this share of the documents with edge lines, and in three of them at least.
@@ -60,12 +61,14 @@ def anagram(word: str) -> int:
 
 
 def token_words(token: str) -> list[str]:
-    """The words of a token between blanks, case folded: its parts at hyphens, and each two neighbours as 'a-b'. A part of several
-    words, as at a slash, gives each; a run of more than ``LONGEST`` characters is cut, so that all of it is read."""
-    found = [w[k : k + LONGEST] for part in token.split("-") for w in _INNER.findall(part.casefold()) for k in range(0, len(w), LONGEST)]
-    if len(found) < 2:
-        return found
-    return found + [f"{a}-{b}" for a, b in zip(found, found[1:])]
+    """The words of a token between blanks, case folded: those of its parts at hyphens, and "a-b" of what stands on both sides of each
+    hyphen. A part of several words, as at a slash, gives each, one of more than ``LONGEST`` characters its pieces. Han characters,
+    which no confusion touches, part words and are none."""
+    low = token.casefold()
+    if not low.isascii():
+        low = _HAN.sub(" ", low)
+    parts = [[w[k : k + LONGEST] for w in _INNER.findall(part) for k in range(0, len(w), LONGEST)] for part in low.split("-")]
+    return [w for ws in parts for w in ws] + [f"{a[-1]}-{b[0]}" for a, b in zip(parts, parts[1:]) if a and b]
 
 
 class Tokens:

@@ -95,7 +95,8 @@ def test_long_runs_are_read_once_and_whole():
     assert R.rebuild(run + "\nimprove-\nment", {}, {("improve", "-", "ment")}, {}) == run + " improvement"
     assert R._BREAK.sub(" ", run + "-\nb end") == "  end"
     assert time.perf_counter() - began < 5
-    assert R.token_words("Zestabra/Stadaflu") == ["zestabra", "stadaflu", "zestabra-stadaflu"]
+    assert R.token_words("Zestabra/Stadaflu-Xy") == ["zestabra", "stadaflu", "xy", "stadaflu-xy"]
+    assert R.token_words("中" * 200 + "qqb-4208" + "文" * 90) == ["qqb", "4208", "qqb-4208"]
     assert "".join(R.token_words("y" * 250)[:4]) == "y" * 250
 
 
