@@ -179,31 +179,37 @@ def _bitmap(words: DataFrame) -> np.ndarray:
     return out
 
 
+class Hits(dict):
+    """What of a token may be misread: words that stand in the bitmap, and "" for a number with letters in it; kept by token."""
+
+    def __init__(self, bitmap: np.ndarray, size: int = 400_000):
+        super().__init__()
+        self.bitmap, self.size = bitmap, size
+
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        hits = tuple(w for w in token_words(token) if self.bitmap[(b := _bit(w)) >> 3] >> (b & 7) & 1)
+        if any(c in token for c in "lOSB") and any(NUMBER.fullmatch(p) for p in re.split(r"[-–(]", token.strip(".,;:()"))):
+            hits += ("",)
+        if len(token) < LONGEST:
+            if len(self) >= self.size:
+                self.clear()
+            self[token] = hits
+        return hits
+
+
 def misread_places(nodes: DataFrame, fixes: DataFrame) -> DataFrame:
     """(node_id, line, word, printed) of misread words and numbers; printed is null for a number, which is read back
     digit by digit. Lines are counted from 0."""
     shared = nodes.sparkSession.sparkContext.broadcast(_bitmap(fixes))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bitmap = shared.value
-        tokens = Tokens()
-        known: dict[str, tuple[str, ...]] = {}
+        known = Hits(shared.value)
         for pdf in batches:
             rows = []
             for node, text in zip(pdf["node_id"], pdf["content"]):
-                for token in set(text.split()):
-                    hits = known.get(token)
-                    if hits is None:
-                        hits = tuple(w for w in tokens(token) if bitmap[(b := _bit(w)) >> 3] >> (b & 7) & 1)
-                        if any(c in token for c in "lOSB") and any(NUMBER.fullmatch(p) for p in re.split(r"[-–(]", token.strip(".,;:()"))):
-                            hits += ("",)
-                        if len(known) > 400_000:
-                            known.clear()
-                        if len(token) < LONGEST:
-                            known[token] = hits
-                    if hits:
-                        lines = [k for k, line in enumerate(text.split("\n")) if token in line.split()]
-                        rows += [(node, k, w or token.strip(".,;:()"), not w) for k in lines for w in hits]
+                for token, hits in [(t, h) for t in set(text.split()) if (h := known[t])]:
+                    lines = [k for k, line in enumerate(text.split("\n")) if token in line.split()]
+                    rows += [(node, k, w or token.strip(".,;:()"), not w) for k in lines for w in hits]
             yield pd.DataFrame(rows, columns=["node_id", "line", "word", "is_number"])
 
     found = nodes.mapInPandas(run, "node_id string, line int, word string, is_number boolean").distinct()
@@ -312,6 +318,9 @@ def edge_noise(nodes: DataFrame) -> DataFrame:
     parts = parts.withColumn("like_title", F.coalesce(like_title, F.lit(False))).withColumn("shape", F.regexp_replace(shape, r" ?\p{Lu}[^\p{L}#]*#[^\p{L}]*$", " A#"))
     worded = F.col("part").rlike(r"\p{L}{3}") & ~F.col("part").rlike(r"[:.;,]$") & F.col("style").isNull() & (F.length("part") <= 70)
     few = F.size(F.split("part", " ")) <= 4
+    # Told once for all that follows.
+    parts = cut_lineage(parts.withColumn("worded", F.coalesce(worded, F.lit(False))).withColumn("few", few).drop("title", "group_title"))
+    worded, few = F.col("worded"), F.col("few")
     shapes = (
         parts.where(worded & few & ~F.col("like_title") & F.contains("shape", F.lit("#")) & ((F.col("rank") == 1) | ~F.col("alone")))
         .select("shape", *group, "part").distinct()
