@@ -276,12 +276,17 @@ STYLES = (
 )
 
 
+def _title() -> Column:
+    """The first part of a section's path: what the document is called."""
+    return F.trim(F.split("section_path", r" [/>] ")[0])
+
+
 def edge_parts(nodes: DataFrame) -> DataFrame:
     """(node_id, document_id, parent_id, title, page, line, side, rank, alone, part, before, after) of the first and last
     lines that aren't blank, cut at wide gaps; before and after are the neighbouring lines."""
     lines = F.filter(F.transform(F.split("content", "\n"), lambda x, i: F.struct(i.alias("line"), F.trim(x).alias("text"))), lambda s: s["text"] != "")
     base = nodes.where(F.contains("content", F.lit("\n"))).select(
-        "node_id", "document_id", "parent_id", "page", F.trim(F.split("section_path", r" [/>] ")[0]).alias("title"), lines.alias("l")
+        "node_id", "document_id", "parent_id", "page", _title().alias("title"), lines.alias("l")
     )
     n = F.size("l")
     tops = F.transform(F.sequence(F.lit(1), F.least(F.lit(EDGE_LINES), n)), lambda k: F.struct(F.lit("top").alias("side"), k.alias("rank"), k.alias("at")))
@@ -302,9 +307,9 @@ def edge_noise(nodes: DataFrame) -> DataFrame:
     documents and is no line of text, or comes back on another page of its section. A page number has one of the usual
     forms; a lone number must keep the distance to the page that others of its section keep, or follow no list.
     """
-    parts = cut_lineage(edge_parts(nodes).distinct())
+    parts = edge_parts(nodes).distinct()
     group = ["document_id", "parent_id"]
-    titles = parts.groupBy(*group).agg(F.max("title").alias("group_title"))
+    titles = nodes.where(F.contains("content", F.lit("\n"))).groupBy(*group).agg(F.max(_title()).alias("group_title"))
     style = F.coalesce(*[F.when(F.col("part").rlike(p), F.lit(s)) for s, p in STYLES])
     value = F.coalesce(*[F.when(F.col("part").rlike(p), _digits(F.regexp_extract("part", p, 1))) for s, p in STYLES if s != "roman"])
     parts = parts.join(titles, group, "left").withColumn("group_title", F.coalesce("title", "group_title"))
