@@ -74,11 +74,10 @@ def cjk_documents(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.count_if(X.has_cjk(F.col("text"))).alias("with_cjk"))
 
 
-@book.query("""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?。！？])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM documents)
-    SELECT doc_id, count(*) AS sentences, max(length(s)) AS longest FROM s WHERE trim(s) <> '' GROUP BY doc_id""")
+@book.query("""WITH s AS (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(text, '([.!?。！？])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS sentence, generate_subscripts(list_filter(string_split(regexp_replace(text, '([.!?。！？])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> ''), 1) AS k FROM documents)
+    SELECT doc_id, CAST(k - 1 AS INTEGER) AS sentence_no, sentence FROM s""")
 def sentence_split(spark, d):
-    s = table(spark, d, "documents").select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s"))
-    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.max(F.length("s")).cast("bigint").alias("longest"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("sentence_no", "sentence"))
 
 
 _Q = "([0-9]+\\.[0-9]+) (mg/kg|mg|µg|ng/mL|mL/min|mmol/L|nM|IU|per cent|points)"

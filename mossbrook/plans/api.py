@@ -229,3 +229,22 @@ def stream_stateful_fold(spark, d):
     q = wal.folded(O.observations(s)).writeStream.outputMode("update").foreachBatch(lambda batch, _: out.replace(batch)).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return out.read()
+
+
+@book.query("""WITH t AS (SELECT doc_id::VARCHAR AS doc_id, CASE WHEN coalesce(trim(text), '') = '' THEN false ELSE coalesce(source IN ('lit_open', 'trial_registry', 'patent_full', 'label_text'), false) END AS ok FROM documents) SELECT count(*) FILTER (ok) AS least_documents, count(*) AS documents FROM t""")
+def flow_ingest(spark, d):
+    """A first load by the flows, run twice, compacted: accepted and quarantined documents add up to all."""
+    from mossbrook import flows
+    from mossbrook.sources.tables import lake
+
+    tables = lake(spark, f"{ensure_checkpoint_dir(spark)}/lakes/{uuid.uuid4().hex}")
+    docs = table(spark, d, "documents")
+    known = ["lit_open", "trial_registry", "patent_full", "label_text"]
+    for _ in range(2):
+        flows.document_ingest(tables, docs, known, "r1")
+    flows.lake_maintain({n: tables[n] for n in ("documents", "ingest_quarantine")}, 1)
+    good, bad = tables["documents"].read().select("doc_id"), tables["ingest_quarantine"].read().where("state = 'open'").select("doc_id")
+    ok = F.coalesce(F.trim("text") != "", F.lit(False)) & F.coalesce(F.col("source").isin(*known), F.lit(False))
+    wrong = good.join(docs.where(~ok).select(F.col("doc_id").cast("string")), "doc_id", "left_semi").count()
+    every = good.unionByName(bad).agg(F.count_distinct("doc_id").alias("documents"))
+    return docs.agg(F.count_if(ok).alias("least_documents")).join(F.broadcast(every)).where(F.lit(wrong) == 0).select("least_documents", "documents")

@@ -40,10 +40,10 @@ def tagged_spans(spark, d):
 
 
 @book.query(f"""WITH m AS (SELECT DISTINCT mention AS text FROM zingg_matches WHERE mention IS NOT NULL), t AS (SELECT text, {W} AS w FROM m), a AS (SELECT text, w, unnest(range(1, len(w) + 1)) AS i FROM t), b AS (SELECT text, w, i, unnest([1, 2, 3, 4]) AS k FROM a)
-    SELECT text, count(DISTINCT array_to_string(w[i:i + k - 1], ' ')) AS spans FROM b WHERE i + k - 1 <= len(w) GROUP BY 1""")
+    SELECT DISTINCT text, array_to_string(w[i:i + k - 1], ' ') AS span FROM b WHERE i + k - 1 <= len(w)""")
 def span_windows(spark, d):
     m = table(spark, d, "zingg_matches").where(F.col("mention").isNotNull()).select(F.col("mention").alias("text")).distinct()
-    return m.select("text", F.size(P.windows(F.col("text"))).cast("bigint").alias("spans")).where("spans > 0")
+    return m.select("text", F.explode(P.windows(F.col("text"))).alias("span"))
 
 
 @book.query()

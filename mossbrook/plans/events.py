@@ -110,15 +110,19 @@ def kgcl_changes(spark, d):
     return c.select("concept_id", E.kgcl(op, F.col("concept_id"), value).alias("change")).distinct()
 
 
-@book.query("""WITH c AS (SELECT mention, enterprise_id AS canonical, count(*) AS occ, max(CASE WHEN score <= 1 THEN score END) AS conf FROM zingg_matches WHERE mention IS NOT NULL GROUP BY 1, 2),
+@book.query("""WITH lab AS (SELECT id, min(preferred_term) AS label FROM (SELECT unnest(external_ids) AS id, preferred_term FROM bios_subset) GROUP BY 1), c0 AS (SELECT mention, enterprise_id AS canonical, count(*) AS occ, max(CASE WHEN score <= 1 THEN score END) AS conf FROM zingg_matches WHERE mention IS NOT NULL GROUP BY 1, 2),
+    c1 AS (SELECT c0.*, coalesce(label, mention) AS query FROM c0 LEFT JOIN lab ON id = canonical), c2 AS (SELECT *, lower(query) AS q, lower(mention) AS m, list_distinct(regexp_extract_all(lower(query), '\\p{L}+')) AS wq, list_distinct(regexp_extract_all(lower(mention), '\\p{L}+')) AS wm FROM c1),
+    c AS (SELECT *, CASE WHEN q = m THEN 1.0 WHEN length(m) >= 4 AND (contains(q, m) OR contains(m, q)) THEN 1.0 ELSE len(list_intersect(wq, wm)) / greatest(len(list_distinct(list_concat(wq, wm))), 1) END AS near FROM c2),
     x AS (SELECT *, regexp_replace(lower(trim(mention)), '\\s+', ' ', 'g') AS k, list_filter([CASE WHEN regexp_replace(lower(trim(mention)), '\\s+', ' ', 'g') IN ('tbd', 'unknown', '-') THEN 'hard:blocked' END, CASE WHEN length(trim(mention)) < 2 THEN 'hard:short' END, CASE WHEN length(mention) > 80 THEN 'hard:long' END,
-      CASE WHEN regexp_matches(mention, '^[^\\p{L}]+$') THEN 'hard:no_letters' END, CASE WHEN canonical IS NULL THEN 'soft:no_entity' END, CASE WHEN coalesce(conf, 0) < 0.6 THEN 'soft:confidence' END], lambda z: z IS NOT NULL) AS rs FROM c),
-    y AS (SELECT *, len(list_filter(rs, lambda z: starts_with(z, 'hard'))) AS hard, round(coalesce(conf, 0) + 1.0 + 0.5 * least(occ, 10) / 10 - 0.3 * len(list_filter(rs, lambda z: starts_with(z, 'soft'))), 6) AS score FROM x),
+      CASE WHEN regexp_matches(mention, '^[^\\p{L}]+$') THEN 'hard:no_letters' END, CASE WHEN canonical IS NULL THEN 'soft:no_entity' END, CASE WHEN round(near, 6) < 0.35 THEN 'soft:overlap' END, CASE WHEN coalesce(conf, 0) < 0.6 THEN 'soft:confidence' END], lambda z: z IS NOT NULL) AS rs FROM c),
+    y AS (SELECT *, len(list_filter(rs, lambda z: starts_with(z, 'hard'))) AS hard, round(coalesce(conf, 0) + round(near, 6) + 0.5 * least(occ, 10) / 10 - 0.3 * len(list_filter(rs, lambda z: starts_with(z, 'soft'))), 6) AS score FROM x),
     z AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY hard, score DESC, mention, coalesce(canonical, '')) AS r FROM y)
     SELECT mention, score, array_to_string(rs, ',') AS reasons, CASE WHEN hard > 0 THEN 'dismiss' WHEN len(rs) > 0 THEN 'review' ELSE 'keep' END AS decision FROM z WHERE r = 1""")
 def candidate_filter(spark, d):
     z = table(spark, d, "zingg_matches").where(F.col("mention").isNotNull())
-    c = z.groupBy("mention", F.col("enterprise_id").alias("canonical")).agg(F.count(F.lit(1)).alias("occurrences"), F.max(F.when(F.col("score") <= 1, F.col("score"))).alias("confidence")).withColumn("query", F.col("mention"))
+    c = z.groupBy("mention", F.col("enterprise_id").alias("canonical")).agg(F.count(F.lit(1)).alias("occurrences"), F.max(F.when(F.col("score") <= 1, F.col("score"))).alias("confidence"))
+    label = table(spark, d, "bios_subset").select(F.explode("external_ids").alias("canonical"), "preferred_term").groupBy("canonical").agg(F.min("preferred_term").alias("label"))
+    c = c.join(label, "canonical", "left").withColumn("query", F.coalesce("label", "mention")).drop("label")
     return E.candidates(c, spark.createDataFrame([("TBD",), ("unknown",), ("-",)], "mention string"))
 
 

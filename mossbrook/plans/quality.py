@@ -190,10 +190,10 @@ def point_lookup(spark, d):
     return L.lookup(table(spark, d, "documents").select("doc_id", "source"), ids, "doc_id")
 
 
-@book.query("""WITH b AS (SELECT doc_id, unnest(string_split_regex(text, '\\n\\s*\\n')) AS t FROM documents) SELECT doc_id, count(*) AS blocks, max(length(trim(t))) AS longest FROM b WHERE trim(t) <> '' GROUP BY 1""")
+@book.query("""WITH l AS (SELECT doc_id, string_split_regex(text, '\\n\\s*\\n') AS l FROM documents), b AS (SELECT doc_id, trim(unnest(l)) AS t, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS block_no FROM l), h AS (SELECT *, length(regexp_extract(t, '^(#{1,6}) ', 1)) AS m FROM b WHERE t <> '')
+    SELECT doc_id, block_no, CASE WHEN m > 0 THEN 'heading' ELSE 'text' END AS kind, CASE WHEN m > 0 THEN CAST(m AS INTEGER) END AS level, regexp_replace(t, '^#{1,6} ', '') AS text FROM h""")
 def text_blocks(spark, d):
-    b = L.text_blocks(table(spark, d, "documents"), "doc_id", "text")
-    return b.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.max(F.length("text")).cast("bigint").alias("longest"))
+    return L.text_blocks(table(spark, d, "documents"), "doc_id", "text")
 
 
 @book.query("SELECT event_date, count(*) AS rows FROM (SELECT strftime(ts, '%Y-%m-%d') AS event_date FROM events) WHERE event_date >= '2024-01-10' GROUP BY 1")
