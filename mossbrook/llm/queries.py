@@ -34,6 +34,22 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).where(F.col("node_id").isNotNull()).select("node_id").distinct()
 
 
+def p3_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """Every cut node put together again from its pieces, and whether they fit and overlap as they must."""
+    limits = _t(spark, d, "chunk_limits").groupBy("node_kind").agg(F.min("max_chars").alias("most"), F.min("overlap_chars").alias("overlap"))
+    pieces = F.array_sort(F.collect_list(F.struct("piece_no", "start_char", "end_char", "content")))
+    p = p3_pieces(spark, d).join(limits, "node_kind").groupBy("node_id", "most", "overlap").agg(pieces.alias("p"), F.max("piece_count").alias("pieces"))
+    empty = F.struct(F.lit("").alias("text"), F.lit(0).alias("end"), F.lit(True).alias("ok"))
+
+    def add(acc, x):
+        start = F.when(x["piece_no"] == 1, F.lit(0)).otherwise(acc["end"] - F.col("overlap"))
+        fits = (x["start_char"] == start) & (F.length(x["content"]) <= F.col("most")) & (F.length(x["content"]) == x["end_char"] - x["start_char"])
+        return F.struct(F.concat(acc["text"], F.substring(x["content"], acc["end"] - x["start_char"] + 1, F.length(x["content"]))).alias("text"), x["end_char"].alias("end"), (acc["ok"] & fits).alias("ok"))
+
+    whole = p.withColumn("w", F.aggregate("p", empty, add))
+    return whole.select("node_id", F.col("w.text").alias("content"), (F.col("w.ok") & (F.size("p") == F.col("pieces"))).alias("fits"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows whose values look the same without any being the same."""
     mentions = lookalike.value_rows(_t(spark, d, "zingg_matches"), "match_id", ["mention"], [])
@@ -99,7 +115,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_pieces, p4_found, p4_forms, p5_found, p5_matches, p6_found, p6_alignments, p7_records, p7_report, p8_found, p8_scores, p8_rates)
+    f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_pieces, p3_rejoined, p4_found, p4_forms, p5_found, p5_matches, p6_found, p6_alignments, p7_records, p7_report, p8_found, p8_scores, p8_rates)
 }
 
 def _look_sql(value: str) -> str:
@@ -116,6 +132,11 @@ def _look_sql(value: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "p3_rejoined": """
+        SELECT DISTINCT n.node_id, n.content, true AS fits FROM tree_nodes n
+        JOIN (SELECT node_kind, min(max_chars) AS max_chars FROM chunk_limits WHERE max_chars > 0 GROUP BY 1) l ON n.node_kind = l.node_kind
+        WHERE length(n.content) > l.max_chars
+    """,
     "p4_found": f"""
         WITH named AS (
             SELECT bios_id AS id, unnest(list_append(coalesce(terms, []), preferred_term)) AS value FROM bios_subset WHERE bios_id IS NOT NULL

@@ -1,8 +1,9 @@
 """Cutting oversized text at natural boundaries, with an overlap between consecutive pieces.
 
-A piece that ends at boundary e, after a cut at s, is ``text[s - overlap : e]``. Every boundary is joined to its
-farthest legal successor (a sorted lookup over the boundaries of its text); the successor tables of all texts of a
-batch lie in one array, and squaring that array reaches all cuts in log2(pieces) steps instead of one by one.
+A piece that ends at boundary e, after a cut at s, is ``text[s - overlap : e]``. The boundaries of all texts are one table, each with its
+farthest legal successor (of the strongest kind within reach). That table is joined with itself: after k squarings it leads 2**k pieces
+on, and what is reached from the beginnings doubles with it, so all cuts of all texts are found in log2(pieces) joins, and a text of very
+many pieces is spread over tasks like any other rows.
 """
 
 from __future__ import annotations
@@ -16,10 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECES = (
-    "node_id string, document_id string, node_kind string, section_path string, "
-    "piece_no int, piece_count int, start_char int, end_char int, content string"
-)
+from mossbrook.session import cut_lineage
+
 # Abbreviations that don't end a sentence.
 ABBREVIATIONS = r"(?i:(?<!\bcf)(?<!\bca)(?<!\bno)(?<!\bvs)(?<!\bsect)(?<!\bfig)(?<!\betc)(?<!\bdr)(?<!\be\.g)(?<!\bi\.e)(?<!\bresp)(?<!\bapprox))"
 #: From the strongest boundary to the weakest; a cut lies at the end of a match.
@@ -106,33 +105,35 @@ def successors(text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.ndar
     return at, out
 
 
-def all_cuts(tables: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """The cut positions of every text by pointer doubling over one array of all successor tables."""
-    if not tables:
-        return []
-    base = np.cumsum([0] + [len(a) for a, _ in tables])
-    jump = np.concatenate([s + b for (_, s), b in zip(tables, base)])
-    reached = np.zeros(base[-1], bool)
-    reached[base[:-1]] = True
-    while True:
-        reached[jump[reached]] = True
-        squared = jump[jump]
-        if np.array_equal(squared, jump):
-            break
-        jump = squared
-    return [a[reached[lo:hi]] for (a, _), lo, hi in zip(tables, base, base[1:])]
+TABLE = "key string, place int, at int, next int"
+
 
+def successor_table(texts: DataFrame) -> DataFrame:
+    """(key, place, at, next): every boundary of every text (key, content, max_chars, overlap_chars) with the place of its successor."""
 
-def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        tables = [successors(t, int(m), int(o)) for t, m, o in zip(pdf["content"], pdf["max_chars"], pdf["overlap_chars"])]
-        rows = []
-        for row, cuts in zip(pdf.itertuples(index=False), all_cuts(tables)):
-            overlap = max(0, min(int(row.overlap_chars), int(row.max_chars) - 1))
-            for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-                start = int(lo) - overlap if k else 0
-                rows.append((row.node_id, row.document_id, row.node_kind, row.section_path, k + 1, len(cuts) - 1, start, int(hi), row.content[start : int(hi)]))
-        yield pd.DataFrame(rows, columns=[p.strip().split()[0] for p in PIECES.split(",")])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, text, most, overlap in zip(pdf["key"], pdf["content"], pdf["max_chars"], pdf["overlap_chars"]):
+                at, following = successors(text, int(most), int(overlap))
+                yield pd.DataFrame({"key": key, "place": np.arange(len(at), dtype=np.int32), "at": at.astype(np.int32), "next": following.astype(np.int32)})
+
+    return texts.select("key", "content", "max_chars", "overlap_chars").mapInPandas(run, TABLE)
+
+
+def all_cuts(table: DataFrame) -> DataFrame:
+    """(key, place, at) of every cut of every text, beginnings and ends included, by pointer doubling over the table of successors."""
+    table = cut_lineage(table)
+    jump = table.select("key", "place", "next")
+    reached = table.where("place = 0").select("key", "place")
+    n = reached.count()
+    while n:
+        on = reached.join(jump, ["key", "place"]).select("key", F.col("next").alias("place"))
+        reached = cut_lineage(reached.unionAll(on).distinct())
+        if n == (n := reached.count()):
+            break
+        further = jump.select("key", F.col("place").alias("next"), F.col("next").alias("far"))
+        jump = cut_lineage(jump.join(further, ["key", "next"]).select("key", "place", F.col("far").alias("next")))
+    return table.join(reached, ["key", "place"], "left_semi").select("key", "place", "at")
 
 
 def split_oversized(nodes: DataFrame, limits: DataFrame) -> DataFrame:
@@ -154,4 +155,14 @@ def split_oversized(nodes: DataFrame, limits: DataFrame) -> DataFrame:
         .where(F.length("content") > F.col("max_chars"))
         .dropDuplicates(["node_id", "document_id", "node_kind", "section_path", "content"])
     )
-    return big.select("node_id", "document_id", "node_kind", "section_path", "content", "max_chars", "overlap_chars").mapInPandas(_split, PIECES)
+    identity = ["node_id", "document_id", "node_kind", "section_path", "content"]
+    big = cut_lineage(big.withColumn("key", F.md5(F.to_json(F.struct(*identity)))))
+    cuts = all_cuts(successor_table(big)).groupBy("key").agg(F.array_sort(F.collect_list("at")).alias("cuts"))
+    overlap = F.greatest(F.lit(0), F.least("overlap_chars", F.col("max_chars") - 1))
+    pairs = F.zip_with(F.slice("cuts", F.lit(1), F.size("cuts") - 1), F.slice("cuts", F.lit(2), F.size("cuts") - 1), lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi")))
+    each = big.join(cuts, "key").select(*identity, overlap.alias("overlap"), (F.size("cuts") - 1).alias("piece_count"), F.posexplode(pairs).alias("k", "p"))
+    start = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.col("p.lo") - F.col("overlap"))
+    return each.select(
+        "node_id", "document_id", "node_kind", "section_path", (F.col("k") + 1).alias("piece_no"), "piece_count", start.alias("start_char"), F.col("p.hi").alias("end_char"),
+        F.substring("content", start + 1, F.col("p.hi") - start).alias("content"),
+    )

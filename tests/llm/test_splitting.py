@@ -18,8 +18,8 @@ def walk(at, jump):
 
 def check(text, limit, overlap):
     at, jump = P.successors(text, limit, overlap)
-    cuts = P.all_cuts([(at, jump)])[0].tolist()
-    assert cuts == walk(at, jump) and cuts[0] == 0 and cuts[-1] == len(text)
+    cuts = walk(at, jump)
+    assert cuts[0] == 0 and cuts[-1] == len(text)
     o = max(0, min(overlap, limit - 1))
     for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
         start = lo - o if k else 0
@@ -34,12 +34,16 @@ def test_any_text(text, limit, overlap):
         check(text, limit, overlap)
 
 
-def test_many_texts_at_once():
-    texts = ["word " * 50, "x" * 301, "One. Two. " * 30, "a\n\nb" * 40]
-    tables = [P.successors(t, 40, 10) for t in texts]
-    together = P.all_cuts(tables)
-    assert [c.tolist() for c in together] == [P.all_cuts([t])[0].tolist() for t in tables]
-    assert P.all_cuts([]) == []
+def test_doubling_equals_the_walk(spark):
+    """The joins reach just the cuts of a greedy walk, for many texts and for one of a thousand pieces."""
+    texts = ["word " * 50, "x" * 301, "One. Two. " * 30, "a\n\nb" * 40, "word " * 8_000]
+    df = spark.createDataFrame([(str(i), t, 40, 10) for i, t in enumerate(texts)], "key string, content string, max_chars int, overlap_chars int")
+    got = {}
+    for key, _, at in rows(P.all_cuts(P.successor_table(df)).select("key", "place", "at")):
+        got.setdefault(key, []).append(at)
+    want = {str(i): walk(*P.successors(t, 40, 10)) for i, t in enumerate(texts)}
+    assert {k: sorted(v) for k, v in got.items()} == want and len(want["4"]) > 1000
+    assert P.all_cuts(P.successor_table(df.limit(0))).count() == 0
 
 
 def test_natural_boundaries():
@@ -67,9 +71,3 @@ def test_operator_edges(spark):
     assert one.piece_no.tolist() == list(range(1, len(one) + 1)) and (one.piece_count == len(one)).all() and (one.section_path == "a").all()
     assert P.split_oversized(nodes.limit(0), limits).count() == 0 and P.split_oversized(nodes, limits.limit(0)).count() == 0
     assert rows(P.split_oversized(nodes.repartition(5), limits).select("node_id", "piece_no", "content")) == rows(P.split_oversized(nodes, limits).select("node_id", "piece_no", "content"))
-
-
-def test_long_text_takes_few_squarings():
-    text = "word " * 40_000
-    cuts = P.all_cuts([P.successors(text, 400, 40)])[0]
-    assert len(cuts) > 500 and np.all(np.diff(cuts) > 0)
