@@ -84,23 +84,31 @@ def missed_clicks(clicks: DataFrame, returned: DataFrame) -> DataFrame:
     return clicks.join(returned.select("query", "key").distinct(), ["query", "key"], "left_anti").groupBy("query", "key").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
-def cooccurrence(rows: DataFrame, group: str, item: str, least: int, known: DataFrame) -> DataFrame:
-    """(a, b, groups): unordered pairs of items in ``least`` groups or more that aren't known edges (a, b).
+def cooccurrence(rows: DataFrame, group: str, item: str, least: int, known: DataFrame, large: int = 1000) -> DataFrame:
+    """(a, b, groups): unordered pairs of items in ``least`` groups or more that aren't known edges (a, b). Exact.
 
-    Items in fewer groups are dropped first. With the groups in one order, the smallest first, two items that share ``least`` groups
-    share one of the first n - least + 1 of either, so pairs are formed only there, and the largest groups, last in the order, form
-    pairs only of items that stand in hardly any other. The pairs found are then counted over all groups, so the result is exact.
+    Items in fewer groups are dropped first. Within groups of up to ``large`` items pairs are formed and counted. No larger group forms all
+    its pairs: a pair from the small groups that large ones could lift to ``least`` is looked up in them, and for pairs that share large
+    groups only, these are put in one order, the smallest first: two items that share ``least`` of them share one of the first
+    n - least + 1 of either, and only there candidates are formed, which are then counted.
     """
-    r = rows.select(F.col(group).alias("g"), F.col(item).alias("i")).where(F.col("g").isNotNull() & F.col("i").isNotNull()).distinct()
-    often = r.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    x = cut_lineage(r.join(often, "i"))
+    r = rows.select(F.col(group).alias("g"), F.col(item).alias("i")).where(F.col(group).isNotNull() & F.col(item).isNotNull()).distinct()
+    often = r.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("i")
+    x = cut_lineage(r.join(often, "i", "left_semi"))
     sizes = x.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
-    place = F.row_number().over(Window.partitionBy("i").orderBy("size", "g"))
-    first = x.join(sizes, "g").withColumn("place", place).where(F.col("place") <= F.col("n") - least + 1).select("g", "i")
-    pairs = first.withColumnRenamed("i", "a").join(first.withColumnRenamed("i", "b"), "g").where(F.col("a") < F.col("b")).select("a", "b").distinct()
-    pairs = pairs.join(known.select("a", "b").distinct(), ["a", "b"], "left_anti")
-    shared = pairs.join(x.select(F.col("i").alias("a"), "g"), "a").join(x.select(F.col("i").alias("b"), "g"), ["b", "g"])
-    return shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") >= least)
+    hot = x.join(sizes.where(F.col("size") > large), "g")
+    held = hot.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    small = x.join(sizes.where(F.col("size") <= large).select("g"), "g", "left_semi")
+    light = small.withColumnRenamed("i", "a").join(small.withColumnRenamed("i", "b"), "g").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("light"))
+    lift = light.join(held.select(F.col("i").alias("a"), F.col("n").alias("na")), "a", "left").join(held.select(F.col("i").alias("b"), F.col("n").alias("nb")), "b", "left")
+    lift = cut_lineage(lift.where(F.col("light") + F.coalesce(F.least("na", "nb"), F.lit(0)) >= least).select("a", "b", "light"))
+    first = hot.join(held.where(F.col("n") >= least), "i").withColumn("place", F.row_number().over(Window.partitionBy("i").orderBy("size", "g"))).where(F.col("place") <= F.col("n") - least + 1).select("g", "i")
+    heavy = first.withColumnRenamed("i", "a").join(first.withColumnRenamed("i", "b"), "g").where(F.col("a") < F.col("b")).select("a", "b")
+    asked = lift.select("a", "b").unionAll(heavy).distinct()
+    more = asked.join(hot.select(F.col("i").alias("a"), "g"), "a").join(hot.select(F.col("i").alias("b"), "g"), ["b", "g"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("more"))
+    total = F.coalesce("light", F.lit(0)) + F.coalesce("more", F.lit(0))
+    found = asked.join(lift, ["a", "b"], "left").join(more, ["a", "b"], "left").select("a", "b", total.alias("groups")).where(F.col("groups") >= least)
+    return found.join(known.select("a", "b").distinct(), ["a", "b"], "left_anti")
 
 
 def negative_feedback(feedback: DataFrame) -> DataFrame:

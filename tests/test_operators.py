@@ -139,8 +139,9 @@ def test_cooccurrence_with_a_large_group(spark):
             want[a, b] = want.get((a, b), 0) + 1
     known = spark.createDataFrame([(0, 1)], "a int, b int")
     df = spark.createDataFrame(data, "g int, i int")
-    got = {(r["a"], r["b"]): r["groups"] for r in events.cooccurrence(df, "g", "i", 3, known).collect()}
-    assert got == {k: n for k, n in want.items() if n >= 3 and k != (0, 1)}
+    for large in (1, 10, 1000):
+        got = {(r["a"], r["b"]): r["groups"] for r in events.cooccurrence(df, "g", "i", 3, known, large).collect()}
+        assert got == {k: n for k, n in want.items() if n >= 3 and k != (0, 1)}
 
 
 def test_spans_and_vectors(spark):
