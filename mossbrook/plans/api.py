@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from mossbrook import plugins as P
 from mossbrook.api import Lake, Scope
 from mossbrook.operators import events as E
+from mossbrook.plans import linking
 from mossbrook.plans.base import Book, table
 from mossbrook.plans.corpus import NODES
 from mossbrook.plans.events import BACKLOG, OBS
@@ -48,9 +49,9 @@ def tool_resolve_alias(spark, d):
     return _lake(spark, d).resolve_alias(table(spark, d, "zingg_matches").where("mention is not null"))
 
 
-@book.query()
+@book.query(f"SELECT * FROM ({linking.book.oracles['cascade_resolve']}) WHERE mention IN (SELECT mention FROM zingg_matches)")
 def tool_normalize_entity(spark, d):
-    return _lake(spark, d).normalize_entity(table(spark, d, "zingg_matches").where("mention is not null"))
+    return _lake(spark, d).normalize_entity(table(spark, d, "zingg_matches").where("trim(mention) <> ''"))
 
 
 @book.query("""WITH x AS (SELECT DISTINCT bios_id, unnest(external_ids) AS id FROM bios_subset), a AS (SELECT DISTINCT id, bios_id AS concept_id FROM x WHERE id LIKE 'HMD:%') SELECT id, concept_id, max(preferred_term) AS label FROM a JOIN bios_subset ON bios_id = concept_id GROUP BY 1, 2""")

@@ -130,7 +130,10 @@ class Table:
         by = [F.col(BUCKET)] + ([F.pmod(F.xxhash64(*df.columns), F.lit(salts))] if salts > 1 else [])
         self._bucketed(df).repartition(*by).write.partitionBy(BUCKET).parquet(f"{self.path}/data/{name}")
         folder = self._path(f"data/{name}")
-        return {"dir": name, "buckets": sorted(int(f.getPath().getName().split("=")[1]) for f in self._fs().listStatus(folder) if f.getPath().getName().startswith(f"{BUCKET}="))}
+        buckets = sorted(int(f.getPath().getName().split("=")[1]) for f in self._fs().listStatus(folder) if f.getPath().getName().startswith(f"{BUCKET}="))
+        if not buckets:
+            self._fs().delete(folder, True)
+        return {"dir": name, "buckets": buckets}
 
     def _writable(self, new: DataFrame) -> DataFrame:
         ok = reduce(lambda a, b: a & b, [F.col(k).isNotNull() & (F.col(k).cast("string") != "") for k in self.key])
@@ -139,7 +142,7 @@ class Table:
     def append(self, new: DataFrame, salts: int = 1) -> int:
         """Adds rows; those with a null or blank key aren't written."""
         part = self._store(self._writable(new), salts)
-        return self._commit(lambda m: m | {"parts": [*m["parts"], part]})
+        return self._commit(lambda m: m | {"parts": [*m["parts"], part] if part["buckets"] else m["parts"]})
 
     def replace(self, new: DataFrame, also: DataFrame | None = None) -> int:
         """Replaces all rows of the new rows' keys, and empties the keys of ``also``. Only their buckets are read and written."""
