@@ -7,6 +7,7 @@ from mossbrook import plugins as P
 from mossbrook.operators import evaluation as V
 from mossbrook.operators import graph as G
 from mossbrook.operators import mining as M
+from mossbrook.plans import registry
 from mossbrook.sources.tables import Conflict, Table
 from mossbrook.streaming import observations as O
 from mossbrook.streaming import wal
@@ -92,6 +93,13 @@ def test_log_keeps_what_was_not_sent(spark, tmp_path):
     assert len(got) == 10 and wal.replay(spark, log, "event_id long", away) == {"sent": 0, "left": 0}
 
 
+def test_a_log_over_the_budget_is_replayed_whole(spark, tmp_path):
+    """Four files of 15,000 lines, each more than the budget of a go."""
+    spark.range(60_000).selectExpr("id as event_id", "concat('t', id % 7) as event_type").write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.QUERIES["wal_replay"](spark, str(tmp_path))
+    assert got.count() == 60_000 and got.select("event_id").distinct().count() == 60_000
+
+
 def test_sixty_levels_and_a_cycle_of_twelve(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "parent int, child int").coalesce(1)
     assert G.descendants(spark.createDataFrame([(0,)], "root int"), chain).agg(F.max("depth")).first()[0] == 60
